@@ -38,6 +38,10 @@ class Model:
     version: int = 0
     n_classes: int = 2
 
+    def __post_init__(self) -> None:
+        if not self.name.isidentifier():
+            raise ValueError(f"a model name is part of column names, so it cannot be {self.name!r}")
+
     @property
     def n_features(self) -> int:
         return len(self.weights)

@@ -23,20 +23,12 @@ def confusion_counts(scored: DataFrame, models: Sequence[str], by: tuple[str, ..
     """
     cells = [(m, p, a, f"{m}_{p}_{a}") for m in models for p in CLASSES for a in CLASSES]
     counts = [
-        F.count_if((F.col(prediction_column(m)) == p) & (F.col("label") == a)).alias(name)
-        for m, p, a, name in cells
+        F.expr(f"count_if({prediction_column(m)} = {p} AND label = {a}) AS {name}") for m, p, a, name in cells
     ]
+    rows = ", ".join(f"'{m}', {p}, {a}, {name}" for m, p, a, name in cells)
     wide = scored.groupBy(*by).agg(*counts)
-    rows = [
-        F.struct(
-            F.lit(m).alias("model"),
-            F.lit(p).alias("predicted"),
-            F.lit(a).alias("actual"),
-            F.col(name).alias("n"),
-        )
-        for m, p, a, name in cells
-    ]
-    return wide.select(*by, F.inline(F.array(*rows))).where("n > 0")
+    unpivoted = F.expr(f"stack({len(cells)}, {rows})").alias("model", "predicted", "actual", "n")
+    return wide.select(*by, unpivoted).where("n > 0")
 
 
 def confusion_pivot(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

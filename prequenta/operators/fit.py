@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -10,7 +9,8 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.classification import LogisticRegressionWithSGD
+from pyspark.mllib.common import callMLlibFunc
+from pyspark.mllib.linalg import DenseVector
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,10 +52,12 @@ def _write_labelled_text(points: DataFrame, path: str) -> None:
 def sgd_fit(points: DataFrame, start: Iterable[Model], settings: SgdSettings = OFFLINE) -> dict[str, Model]:
     """Gradient descent from each model's weights over all of ``points``.
 
-    Runs MLlib's trainer: one tree-aggregated gradient job per iteration over points held
-    in executor memory and disk. Points reach it through a text table in the shared
-    folder, so no row passes through Python, all models fit on one written copy, and a
-    lost executor re-reads that copy instead of the input.
+    Runs the trainer behind ``LogisticRegressionWithSGD``: one tree-aggregated gradient job
+    per iteration over points held in executor memory and disk. Points reach it through a
+    text table in the shared folder, so no row passes through Python, all models fit on
+    one written copy, and a lost executor re-reads that copy instead of the input.
+    (``LogisticRegressionWithSGD.train`` would look at the first point in Python, which
+    starts a worker per fit and takes longer than a small batch's iterations.)
 
     Only weights carry over; the fitted intercept is 0. Empty ``points`` are an error.
     """
@@ -66,19 +68,20 @@ def sgd_fit(points: DataFrame, start: Iterable[Model], settings: SgdSettings = O
         labelled = MLUtils.loadLabeledPoints(spark.sparkContext, path, 1)
 
         def fit(model: Model) -> Model:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore", FutureWarning)
-                fitted = LogisticRegressionWithSGD.train(
-                    labelled,
-                    iterations=settings.iterations,
-                    step=settings.step,
-                    miniBatchFraction=settings.mini_batch_fraction,
-                    initialWeights=list(model.weights),
-                    regParam=settings.reg_param,
-                    regType=settings.reg_type,
-                    convergenceTol=settings.tol,
-                )
-            return Model.of(model.name, fitted.weights, fitted.intercept)
+            weights, intercept, _, n_classes = callMLlibFunc(
+                "trainLogisticRegressionModelWithSGD",
+                labelled,
+                settings.iterations,
+                settings.step,
+                settings.mini_batch_fraction,
+                DenseVector(model.weights),
+                settings.reg_param,
+                settings.reg_type,
+                False,  # no intercept
+                True,  # check that labels are 0 or 1
+                settings.tol,
+            )
+            return Model(model.name, tuple(float(w) for w in weights), float(intercept), n_classes=n_classes)
 
         models = list(start)
         with ThreadPoolExecutor(min(len(models), MAX_CONCURRENT_FITS)) as pool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prequenta.functions import cells as C
@@ -11,8 +11,9 @@ from prequenta.model import N_FEATURES
 REJECT = "reject_reason"
 
 
-def _column(df: DataFrame, line: str | Column) -> Column:
-    return df[line] if isinstance(line, str) else line
+def _integer_rows(df: DataFrame, line: str, keep: tuple[str, ...]) -> DataFrame:
+    text = df.select(*keep, F.col(line).alias("_line"), C.split_cells(F.col(line)).alias("_text"))
+    return text.select(*keep, "_line", F.size("_text").alias("_width"), C.int_cells(F.col("_text")).alias("_cells"))
 
 
 def drop_header(df: DataFrame, header: str, line: str = "value") -> DataFrame:
@@ -40,31 +41,30 @@ def parse_labelled(
     """
     if mode not in ("strict", "permissive"):
         raise ValueError(f"unknown mode {mode!r}")
-    text = df.select(*keep, df[line].alias("_line"), C.split_cells(df[line]).alias("_text"))
-    ints = text.select(*keep, "_line", F.size("_text").alias("_width"), C.int_cells(F.col("_text")).alias("_cells"))
-    raw_label = F.get("_cells", F.lit(n_features))
-    reason = (
-        F.when(F.col("_width") != n_features + 1, F.concat(F.lit("cells in line: "), F.col("_width").cast("string")))
-        .when(C.any_missing(F.col("_cells"), n_features + 1), F.lit("a cell is no integer"))
-        .when(~C.label_in_domain(raw_label), F.concat(F.lit("label is neither -1 nor 1: "), raw_label.cast("string")))
-    )
-    features = F.slice("_cells", 1, n_features).cast("array<double>")
-    checked = ints.select(*keep, "_line", "_cells", reason.alias("_reason"))
-    good = F.col("_reason").isNull()
+    ints = _integer_rows(df, line, keep)
+    raw_label = f"get(_cells, {n_features})"
+    reason = f"""CASE
+        WHEN _width != {n_features + 1} THEN concat('cells in line: ', _width)
+        WHEN {C.any_missing("_cells", n_features + 1)} THEN 'a cell is no integer'
+        WHEN {raw_label} NOT IN ({", ".join(map(str, C.RAW_LABELS))}) THEN concat('label is neither -1 nor 1: ', {raw_label})
+        END AS _reason"""
+    checked = ints.selectExpr(*keep, "_line", "_cells", reason)
+    label = f"CAST({raw_label} = 1 AS INT)"
+    features = f"CAST(slice(_cells, 1, {n_features}) AS ARRAY<DOUBLE>)"
     if mode == "strict":
-        failure = F.raise_error(F.concat(F.col("_reason"), F.lit(" in line: "), F.col("_line")))
+        failure = "raise_error(concat(_reason, ' in line: ', _line))"
         # Both columns carry the check, so that pruning one cannot drop it.
-        return checked.select(
+        return checked.selectExpr(
             *keep,
-            F.when(good, C.encode_label(raw_label)).otherwise(failure).cast("int").alias("label"),
-            F.when(good, features).otherwise(failure).cast("array<double>").alias("features"),
+            f"CASE WHEN _reason IS NULL THEN {label} ELSE CAST({failure} AS INT) END AS label",
+            f"CASE WHEN _reason IS NULL THEN {features} ELSE CAST({failure} AS ARRAY<DOUBLE>) END AS features",
         )
-    return checked.select(
+    return checked.selectExpr(
         *keep,
-        F.col("_line").alias("line"),
-        F.when(good, C.encode_label(raw_label)).alias("label"),
-        F.when(good, features).alias("features"),
-        F.col("_reason").alias(REJECT),
+        "_line AS line",
+        f"CASE WHEN _reason IS NULL THEN {label} END AS label",
+        f"CASE WHEN _reason IS NULL THEN {features} END AS features",
+        f"_reason AS {REJECT}",
     )
 
 
@@ -80,9 +80,8 @@ def named_rows(
 ) -> DataFrame:
     """One bigint column per header name; a line with a bad cell or width fails the query."""
     names = header.split(C.DELIMITER) if isinstance(header, str) else header
-    text = df.select(*keep, df[line].alias("_line"), C.split_cells(df[line]).alias("_text"))
-    ints = text.select(*keep, "_line", F.size("_text").alias("_width"), C.int_cells(F.col("_text")).alias("_cells"))
-    bad = (F.col("_width") != len(names)) | C.any_missing(F.col("_cells"), len(names))
+    ints = _integer_rows(df, line, keep)
+    bad = (F.col("_width") != len(names)) | F.expr(C.any_missing("_cells", len(names)))
     failure = F.raise_error(F.concat(F.lit("not a row of integers: "), F.col("_line")))
     # Each column carries the check, so that pruning the others cannot drop it.
     columns = [F.when(~bad, F.get("_cells", F.lit(i))).otherwise(failure).cast("bigint").alias(n) for i, n in enumerate(names)]

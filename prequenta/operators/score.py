@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from prequenta.functions import cells as C
 from prequenta.model import Model
+from prequenta.session import splits_large_methods
 
 
 def prediction_column(name: str) -> str:
@@ -18,11 +18,20 @@ def prediction_column(name: str) -> str:
 def score(
     points: DataFrame, models: Iterable[Model], keep: tuple[str, ...] = (), threshold: float = 0.5
 ) -> DataFrame:
-    """``(keep..., pred_<model>..., label)`` in one narrow projection for all models."""
-    predictions = [
-        C.predicted_class(C.margin(points["features"], m.weights, m.intercept), threshold).alias(
-            prediction_column(m.name)
+    """``(keep..., pred_<model>..., label)`` in one narrow projection for all models.
+
+    A row whose features do not match a model fails the query.
+    """
+    models = list(models)
+    as_terms = sum(m.n_features for m in models) <= C.MAX_TERMS or splits_large_methods(points.sparkSession)
+
+    def prediction(model: Model) -> str:
+        total = C.margin("features", model.weights, model.intercept, as_terms)
+        refusal = f"raise_error('model {model.name} needs {model.n_features} features, none of them NULL')"
+        fits = f"size(features) = {model.n_features}"
+        return (
+            f"coalesce(CASE WHEN {fits} THEN {C.predicted_class(total, threshold)} END, CAST({refusal} AS INT))"
+            f" AS {prediction_column(model.name)}"
         )
-        for m in models
-    ]
-    return points.select(*keep, *predictions, F.col("label"))
+
+    return points.selectExpr(*keep, *[prediction(m) for m in models], "label")

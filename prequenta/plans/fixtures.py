@@ -9,11 +9,12 @@ Each fixture has 30 features in {-1, 0, 1} and a raw label in {-1, 1}:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prequenta.functions.cells import DELIMITER
 from prequenta.model import N_FEATURES
+from prequenta.session import shared_folder
 
 
 def first_primes(n: int) -> list[int]:
@@ -37,37 +38,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _line(features: Column, label: Column) -> Column:
-    return F.concat_ws(DELIMITER, features.cast("array<string>"), label).alias("line")
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _as_table(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame) -> DataFrame:
+    """``lines`` as a table written once per application, the way lines arrive in practice.
+
+    Rebalanced, so that the table has files of even size whatever the source had.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = shared_folder(spark, name)
+        lines.hint("rebalance").write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
 
 
 def _planted(df: DataFrame, keys: tuple[str, ...], cents: str, shift: str, noise: str) -> DataFrame:
     """Lines whose label follows ``f1 + 2*f2 - f3`` plus noise in {-1, 0, 1}."""
     base = df.select(*keys, F.expr(f"cast(round({cents} * 100) as bigint)").alias("c"))
-    divisors = ", ".join(f"{p}L" for p in PRIMES)
-    features = F.expr(f"transform(array({divisors}), p -> ((c div p) + {shift}) % 3 - 1)").alias("f")
-    label = F.expr(f"if(f[0] + 2 * f[1] - f[2] + ({noise} % 3 - 1) > 0, 1, -1)")
-    return base.select(*keys, features).select(*keys, _line(F.col("f"), label))
+    features = [F.expr(f"((c div {p}) + {shift}) % 3 - 1").alias(f"f{k}") for k, p in enumerate(PRIMES, 1)]
+    label = F.expr(f"if(f1 + 2 * f2 - f3 + ({noise} % 3 - 1) > 0, 1, -1)")
+    names = [f"f{k}" for k in range(1, N_FEATURES + 1)]
+    return base.select(*keys, *features).select(*keys, F.concat_ws(DELIMITER, *names, label).alias("line"))
 
 
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(l_orderkey, l_linenumber, l_partkey, l_suppkey, line)``."""
-    return _planted(table(spark, sf_dir, "lineitem"), ITEM_KEYS, "l_extendedprice", "l_partkey", "l_suppkey")
+    source = table(spark, sf_dir, "lineitem")
+    lines = _planted(source, ITEM_KEYS, "l_extendedprice", "l_partkey", "l_suppkey")
+    return _as_table(spark, sf_dir, "items", lines)
 
 
 def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(event_id, line)``."""
-    return _planted(table(spark, sf_dir, "events").select("event_id", "user_id", "value"),
-                    ("event_id", "user_id"), "value", "user_id", "event_id").drop("user_id")
+    source = table(spark, sf_dir, "events")
+    lines = _planted(source, ("event_id", "user_id"), "value", "user_id", "event_id").drop("user_id")
+    return _as_table(spark, sf_dir, "stream", lines)
 
 
 def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(vec_id, line)``."""
-    df = table(spark, sf_dir, "embeddings")
     leading = F.slice("embedding", 1, N_FEATURES).cast("array<double>")
     features = F.transform(leading, lambda v: F.when(v > CUTOFF, 1).when(v < -CUTOFF, -1).otherwise(0))
     label = F.when(F.col("label") % 2 == 1, 1).otherwise(-1)
-    return df.select("vec_id", _line(features, label))
+    line = F.concat_ws(DELIMITER, features.cast("array<string>"), label).alias("line")
+    return _as_table(spark, sf_dir, "vectors", table(spark, sf_dir, "embeddings").select("vec_id", line))
 
 
 def batch_width(spark: SparkSession, sf_dir: str, batches: int) -> int:
