@@ -27,11 +27,11 @@ def score(
 
     def prediction(model: Model) -> str:
         total = C.margin("features", model.weights, model.intercept, as_terms)
+        # A plain summand keeps the terms out of a branch, where Spark would compute the
+        # array accesses again for each model.
+        right_width = f"IF(size(features) = {model.n_features}, 0D, NULL)"
         refusal = f"raise_error('model {model.name} needs {model.n_features} features, none of them NULL')"
-        fits = f"size(features) = {model.n_features}"
-        return (
-            f"coalesce(CASE WHEN {fits} THEN {C.predicted_class(total, threshold)} END, CAST({refusal} AS INT))"
-            f" AS {prediction_column(model.name)}"
-        )
+        predicted = C.predicted_class(f"{total} + {right_width}", threshold)
+        return f"coalesce({predicted}, CAST({refusal} AS INT)) AS {prediction_column(model.name)}"
 
     return points.selectExpr(*keep, *[prediction(m) for m in models], "label")
