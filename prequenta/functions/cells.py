@@ -12,11 +12,6 @@ DELIMITER = ","
 RAW_LABELS = {-1: 0, 1: 1}
 BLANKS = " \t\n\r\x0b\x0c"
 
-# Terms that may be written out in one projection. The JVM does not compile a method of
-# more than 8000 bytes of bytecode, and interpreting it costs a factor of six; sixty terms
-# next to a parse stay below that.
-MAX_TERMS = 64
-
 
 def split_cells(line: Column) -> Column:
     """All cells of a line, empty trailing ones included."""
@@ -31,15 +26,15 @@ def int_cells(cells: Column) -> Column:
     return cells.try_cast("array<bigint>")
 
 
-def any_missing(cells: str, width: int) -> str:
-    """SQL: true if one of the first ``width`` cells of the named array is NULL or absent.
+def any_missing(array: str) -> str:
+    """SQL: true if an element of the named array is NULL.
 
-    A bitwise or is NULL exactly when one operand is, cannot overflow, and stays in
-    generated code. Wide records use a lambda instead, see ``MAX_TERMS``.
+    Spark evaluates a projection with a lambda outside whole-stage code and generates the
+    rest of it as many small methods. That is wanted next to long expressions: as part of
+    a whole-stage method they pass the 8000 bytes of bytecode above which the JVM only
+    interprets it, which costs a factor of six.
     """
-    if width > MAX_TERMS:
-        return f"(size({cells}) < {width} OR exists({cells}, cell -> cell IS NULL))"
-    return "(" + " | ".join(f"get({cells}, {i})" for i in range(width)) + ") IS NULL"
+    return f"exists({array}, element -> element IS NULL)"
 
 
 def encode_label(raw: Column) -> Column:
@@ -54,20 +49,18 @@ def strip_line(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def margin(features: str, weights: tuple[float, ...], intercept: float, as_terms: bool = True) -> str:
+def margin(features: str, weights: tuple[float, ...], intercept: float) -> str:
     """SQL for a dot product with fixed weights plus intercept, in the order of the features.
 
-    Written out as one term per feature it stays in generated code, five to ten times
-    faster than a lambda over the array; the lambda form has no limit on the terms. It is
-    SQL text because building hundreds of column objects takes longer than a micro-batch.
+    NULL if a feature is NULL or their number is not that of the weights. One term per
+    feature is generated code, several times faster than ``aggregate(zip_with(...))``. It
+    is SQL text because building hundreds of column objects takes longer than a small batch.
     """
-    if as_terms:
-        total = " + ".join(f"get({features}, {i}) * {double_sql(w)}" for i, w in enumerate(weights))
-    else:
-        listed = ", ".join(double_sql(w) for w in weights)
-        products = f"zip_with({features}, array({listed}), (x, w) -> x * w)"
-        total = f"aggregate({products}, 0D, (total, x) -> total + x)"
-    return f"{total} + {double_sql(intercept)}"
+    terms = " + ".join(f"get({features}, {i}) * {double_sql(w)}" for i, w in enumerate(weights))
+    # A plain summand instead of a branch around the terms: within a branch, Spark would
+    # look up the features again for each model.
+    matches = f"IF(size({features}) = {len(weights)} AND NOT {any_missing(features)}, 0D, NULL)"
+    return f"{terms} + {double_sql(intercept)} + {matches}"
 
 
 def double_sql(value: float) -> str:

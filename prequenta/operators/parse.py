@@ -45,7 +45,7 @@ def parse_labelled(
     raw_label = f"get(_cells, {n_features})"
     reason = f"""CASE
         WHEN _width != {n_features + 1} THEN concat('cells in line: ', _width)
-        WHEN {C.any_missing("_cells", n_features + 1)} THEN 'a cell is no integer'
+        WHEN {C.any_missing("_cells")} THEN 'a cell is no integer'
         WHEN {raw_label} NOT IN ({", ".join(map(str, C.RAW_LABELS))}) THEN concat('label is neither -1 nor 1: ', {raw_label})
         END AS _reason"""
     checked = ints.selectExpr(*keep, "_line", "_cells", reason)
@@ -80,12 +80,14 @@ def named_rows(
 ) -> DataFrame:
     """One bigint column per header name; a line with a bad cell or width fails the query."""
     names = header.split(C.DELIMITER) if isinstance(header, str) else header
-    ints = _integer_rows(df, line, keep)
-    bad = (F.col("_width") != len(names)) | F.expr(C.any_missing("_cells", len(names)))
-    failure = F.raise_error(F.concat(F.lit("not a row of integers: "), F.col("_line")))
+    checked = _integer_rows(df, line, keep).selectExpr(
+        *keep,
+        "_cells",
+        f"CASE WHEN _width = {len(names)} AND NOT {C.any_missing('_cells')} THEN true"
+        " ELSE CAST(raise_error(concat('not a row of integers: ', _line)) AS BOOLEAN) END AS _ok",
+    )
     # Each column carries the check, so that pruning the others cannot drop it.
-    columns = [F.when(~bad, F.get("_cells", F.lit(i))).otherwise(failure).cast("bigint").alias(n) for i, n in enumerate(names)]
-    return ints.select(*keep, *columns)
+    return checked.select(*keep, *[F.expr(f"IF(_ok, get(_cells, {i}), NULL)").alias(n) for i, n in enumerate(names)])
 
 
 def publish_payload(df: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 
 from prequenta.functions import cells as C
 from prequenta.model import Model
-from prequenta.session import splits_large_methods
 
 
 def prediction_column(name: str) -> str:
@@ -22,16 +21,10 @@ def score(
 
     A row whose features do not match a model fails the query.
     """
-    models = list(models)
-    as_terms = sum(m.n_features for m in models) <= C.MAX_TERMS or splits_large_methods(points.sparkSession)
 
     def prediction(model: Model) -> str:
-        total = C.margin("features", model.weights, model.intercept, as_terms)
-        # A plain summand keeps the terms out of a branch, where Spark would compute the
-        # array accesses again for each model.
-        right_width = f"IF(size(features) = {model.n_features}, 0D, NULL)"
+        predicted = C.predicted_class(C.margin("features", model.weights, model.intercept), threshold)
         refusal = f"raise_error('model {model.name} needs {model.n_features} features, none of them NULL')"
-        predicted = C.predicted_class(f"{total} + {right_width}", threshold)
         return f"coalesce({predicted}, CAST({refusal} AS INT)) AS {prediction_column(model.name)}"
 
     return points.selectExpr(*keep, *[prediction(m) for m in models], "label")

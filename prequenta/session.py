@@ -8,21 +8,6 @@ from uuid import uuid4
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-HUGE_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
-JIT_LIMIT = 8000
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Let Spark split generated methods that the JVM would refuse to compile.
-
-    Recommended for scoring with more than two models or on wide records.
-    """
-    spark.conf.set(HUGE_METHOD_LIMIT, str(JIT_LIMIT))
-    return spark
-
-
-def splits_large_methods(spark: SparkSession) -> bool:
-    return int(spark.conf.get(HUGE_METHOD_LIMIT, "65535")) <= JIT_LIMIT
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
