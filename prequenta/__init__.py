@@ -16,7 +16,7 @@ from prequenta.operators.split import bootstrap_sample, hash_split, random_split
 from prequenta.sources.models import load_models, save_models
 from prequenta.sources.text import read_header, read_labelled_csv, read_lines
 from prequenta.sources.topic import read_topic, write_topic
-from prequenta.streaming.prequential import open_run, read_counts, run_prequential
+from prequenta.streaming.prequential import latest_run, open_run, read_counts, run_prequential
 
 __all__ = [
     "Model",
@@ -32,6 +32,7 @@ __all__ = [
     "drop_header",
     "hash_split",
     "last_points",
+    "latest_run",
     "lbfgs_fit",
     "load_models",
     "named_rows",

@@ -23,7 +23,8 @@ def running_accuracy(counts: DataFrame, block: int = 10_000) -> DataFrame:
             F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0)).alias("hit"),
             F.sum("n").alias("total"),
         )
-        .withColumn("block", F.floor(F.col("batch_id") / block))
+        # Never NULL, so that the join below filters neither side and both share one scan.
+        .withColumn("block", F.coalesce(F.expr(f"batch_id div {block}"), F.lit(-1)))
     )
     earlier_blocks = W.partitionBy("model").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     before = (

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from prequenta.operators.evaluate import accuracy_json
 from prequenta.operators.report import POINTS, last_points, running_accuracy
-from prequenta.streaming.prequential import open_run, read_counts
+from prequenta.streaming.prequential import latest_run, read_counts
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -21,7 +21,10 @@ def main(argv: list[str] | None = None) -> None:
     opt = args.parse_args(argv)
 
     spark = SparkSession.builder.appName("prequenta-report").getOrCreate()
-    counts = read_counts(spark, open_run(spark, opt.out))
+    run = latest_run(spark, opt.out)
+    if run is None:
+        raise SystemExit(f"there is no run below {opt.out}")
+    counts = read_counts(spark, run)
     print(accuracy_json(counts).first()["json"])
     last_points(running_accuracy(counts), opt.points, seed_zeros=True).orderBy("model", "seq").show(
         2 * opt.points, truncate=False

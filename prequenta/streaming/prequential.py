@@ -40,28 +40,32 @@ class Run:
         return f"{self.path}/checkpoint"
 
 
+def latest_run(spark: SparkSession, out: str) -> Run | None:
+    """The run below ``out`` that started last."""
+    base = out.rstrip("/")
+    try:
+        latest = spark.read.parquet(f"{base}/runs").agg(F.max_by("run_id", "started")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return Run(f"{base}/run-{latest}")
+
+
 def open_run(spark: SparkSession, out: str, reset: bool = False) -> Run:
     """The latest run below ``out``, or a new one if there is none or ``reset`` is set.
 
     A reset starts from nothing in a folder of its own; earlier runs stay readable.
     """
-    base = out.rstrip("/")
-    log = f"{base}/runs"
-    if not reset:
-        try:
-            latest = spark.read.parquet(log).agg(F.max_by("run_id", "started")).first()[0]
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            latest = None
-        if latest is not None:
-            return Run(f"{base}/run-{latest}")
-    run_id = uuid4().hex
+    found = None if reset else latest_run(spark, out)
+    if found is not None:
+        return found
+    base, run_id = out.rstrip("/"), uuid4().hex
     (
         spark.range(1, numPartitions=1)
         .select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("started"))
         .write.mode("append")
-        .parquet(log)
+        .parquet(f"{base}/runs")
     )
     return Run(f"{base}/run-{run_id}")
 
