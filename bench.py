@@ -17,19 +17,19 @@ from prequenta.plans import catalog, fixtures
 HEADLINE = (
     "scan_labelled_csv",
     "labelled_points",
-    "hash_split_sides",
+    "hash_split",
     "score_two_models",
     "predict_fixed",
-    "confusion",
-    "accuracy_rows",
+    "confusion_counts",
+    "accuracy",
     "sgd_first_step",
     "sgd_fit_10",
     "offline_training",
-    "lbfgs_weights",
+    "lbfgs_fit",
     "model_roundtrip",
     "stream_confusion",
     "stream_prequential",
-    "running_accuracy_series",
+    "running_accuracy",
     "last_n_points",
 )
 
@@ -70,7 +70,7 @@ def main() -> None:
                 "queries": seconds,
                 "prepare": prepare,
                 "rows_per_sec": {
-                    name: round(rows / seconds[name]) for name in ("predict_fixed", "confusion", "sgd_fit_10")
+                    name: round(rows / seconds[name]) for name in ("predict_fixed", "confusion_counts", "sgd_fit_10")
                 },
                 "sf": os.path.basename(sf_dir.rstrip("/")),
                 "cpus": int(cpus),

@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Row
 from pyspark.sql import types as T
 
+from prequenta.functions.cells import double_sql
+
 # The record width the application is set up for, and the names and
 # output labels of its two models.
 N_FEATURES = 30
@@ -49,15 +51,11 @@ class Model:
     def at_version(self, version: int) -> "Model":
         return replace(self, version=version)
 
-    def as_row(self) -> tuple:
-        return (
-            self.name,
-            self.version,
-            list(self.weights),
-            self.intercept,
-            self.n_features,
-            self.n_classes,
-        )
+    def as_sql(self) -> str:
+        """The model as one row of a VALUES table with the columns of ``MODEL_SCHEMA``."""
+        weights = ", ".join(double_sql(w) for w in self.weights)
+        intercept = double_sql(self.intercept)
+        return f"('{self.name}', {self.version}L, array({weights}), {intercept}, {self.n_features}, {self.n_classes})"
 
     @classmethod
     def from_row(cls, row: Row) -> "Model":

@@ -43,10 +43,13 @@ ORACLE: dict[str, str] = {}
 
 
 def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function ``query_<name>`` as the query ``<name>``, with its SQL if it has any."""
+
     def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
+        name = function.__name__.removeprefix("query_")
+        QUERIES[name] = function
         if sql is not None:
-            ORACLE[function.__name__] = sql
+            ORACLE[name] = sql
         return function
 
     return register
@@ -104,7 +107,7 @@ def write_micro_batches(spark: SparkSession, sf_dir: str, batches: int = BATCHES
 
 
 @_query(O.with_sql(O.ITEMS_SQL) + f" SELECT label, {O.CELLS_SQL} AS cells FROM items")
-def scan_labelled_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_scan_labelled_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "csv")
     named = named_rows(X.item_lines(spark, sf_dir), X.HEADER, "line")
     named.write.option("header", True).csv(path)
@@ -119,7 +122,7 @@ def scan_labelled_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     + " SELECT event_id, line FROM lines WHERE split_part(line, ',', 1) <> 'f1'"
 )
-def header_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_header_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One header per purchase event stands for the headers of many concatenated files.
     headers = X.table(spark, sf_dir, "events").where("event_type = 'purchase'").select(
         F.lit(None).cast("bigint").alias("event_id"), F.lit(X.HEADER).alias("line")
@@ -132,7 +135,7 @@ def header_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT event_id, len(c) AS n_cells, c[1] AS first_cell, c[len(c)] AS last_cell,"
     " array_to_string(c, '|') AS cells FROM cut"
 )
-def parse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_parse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = X.stream_lines(spark, sf_dir).select("event_id", C.split_cells(F.col("line")).alias("c"))
     return cut.select(
         "event_id",
@@ -148,7 +151,7 @@ def parse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """ SELECT event_id, CAST(len(c) AS BIGINT) AS n_cells,
           array_to_string(list_transform(c, lambda s: CAST(s AS BIGINT) * 10), ' ') AS tens FROM cut"""
 )
-def parse_int_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_parse_int_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     ints = X.stream_lines(spark, sf_dir).select("event_id", C.int_cells(C.split_cells(F.col("line"))).alias("c"))
     tens = F.transform("c", lambda x: x * 10).cast("array<string>")
     return ints.select("event_id", F.size("c").cast("bigint").alias("n_cells"), F.concat_ws(" ", tens).alias("tens"))
@@ -157,14 +160,14 @@ def parse_int_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     O.with_sql(O.STREAM_SQL) + " SELECT event_id, CAST(2 * label - 1 AS BIGINT) AS raw_label, label FROM stream"
 )
-def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = C.int_cells(C.split_cells(F.col("line")))
     raw = X.stream_lines(spark, sf_dir).select("event_id", F.element_at(cells, -1).alias("raw_label"))
     return raw.select("event_id", "raw_label", C.encode_label(F.col("raw_label")).alias("label"))
 
 
 @_query(O.with_sql(O.VECTORS_SQL) + f" SELECT vec_id, label, {O.CELLS_SQL} AS cells FROM vectors")
-def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", "label", _cells_text().alias("cells"))
 
 
@@ -174,7 +177,7 @@ def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ", ".join(f"f[{k}] AS f{k}" for k in range(1, N_FEATURES + 1))
     + ", CAST(2 * label - 1 AS BIGINT) AS label FROM stream"
 )
-def named_row_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named_rows(X.stream_lines(spark, sf_dir), X.HEADER, "line", keep=("event_id",))
 
 
@@ -187,7 +190,7 @@ def named_row_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """ SELECT event_id, CASE WHEN regexp_full_match(line, '(-?[0-9]+,)*-?[0-9]+') THEN 'good' ELSE 'rejected' END
           AS verdict FROM spoilt"""
 )
-def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoilt = X.stream_lines(spark, sf_dir).select(
         "event_id",
         F.when(F.col("event_id") % 3 == 0, F.replace("line", F.lit("1"), F.lit("x"))).otherwise(F.col("line")).alias("line"),
@@ -202,7 +205,7 @@ def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     O.with_sql(O.STREAM_SQL, f"padded AS (SELECT event_id, '  ' || {O.LINE_SQL} || chr(9) || ' ' AS line FROM stream)")
     + """ SELECT event_id, hex(encode(trim(line, ' ' || chr(9)))) AS payload FROM padded"""
 )
-def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_publish_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = X.stream_lines(spark, sf_dir).select(
         "event_id", F.concat(F.lit("  "), F.col("line"), F.lit("\t ")).alias("line")
     )
@@ -217,20 +220,20 @@ def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f" SELECT {O.ITEM_KEY_SQL}, CASE WHEN {O.in_train_sql(X.ITEM_KEYS, TEST_FRACTION)} THEN 'train' ELSE 'rest' END AS side"
     " FROM items"
 )
-def hash_split_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = list(X.ITEM_KEYS)
     train, rest = hash_split(X.table(spark, sf_dir, "lineitem").select(*keys), keys, TEST_FRACTION)
     return train.withColumn("side", F.lit("train")).unionByName(rest.withColumn("side", F.lit("rest")))
 
 
 @_query()
-def random_split_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, rest = random_split(X.item_lines(spark, sf_dir))
     return train.withColumn("side", F.lit("train")).unionByName(rest.withColumn("side", F.lit("rest")))
 
 
 @_query()
-def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_bootstrap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap_sample(X.stream_lines(spark, sf_dir))
 
 
@@ -241,7 +244,7 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     O.with_sql(O.ITEMS_SQL)
     + f" SELECT {O.ITEM_KEY_SQL}, {O.predict_sql(O.list_sql(RULE.weights))} AS pred_pretrained, label FROM items"
 )
-def predict_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_predict_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_items(spark, sf_dir), [RULE], keep=X.ITEM_KEYS)
 
 
@@ -250,7 +253,7 @@ def predict_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f" SELECT event_id, {O.predict_sql(O.list_sql(RULE.weights))} AS pred_pretrained,"
     f" {O.predict_sql(O.ZEROS_SQL)} AS pred_cold, label FROM stream"
 )
-def score_two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_score_two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_stream(spark, sf_dir), FIXED, keep=("event_id",))
 
 
@@ -263,13 +266,13 @@ def score_two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     + " SELECT * FROM counts"
 )
-def holdout_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_holdout_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rest = hash_split(_items(spark, sf_dir), list(X.ITEM_KEYS))
     return holdout_confusion(rest, RULE)
 
 
 @_query(O.with_sql(O.ITEMS_SQL, O.scored_sql("items", FIXED, ()), O.counts_sql()) + " SELECT * FROM counts")
-def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion_counts(score(_items(spark, sf_dir), FIXED), NAMES)
 
 
@@ -284,18 +287,18 @@ _ITEM_COUNTS = O.with_sql(O.ITEMS_SQL, O.scored_sql("items", FIXED, ()), O.count
                  CAST(sum(CASE WHEN predicted = 0 AND actual = 1 THEN n ELSE 0 END) AS BIGINT) AS fn
           FROM counts GROUP BY model"""
 )
-def confusion_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confusion_pivot(confusion(spark, sf_dir))
+def query_confusion_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusion_pivot(query_confusion_counts(spark, sf_dir))
 
 
 @_query(_ITEM_COUNTS + f" SELECT {O.counter_key_sql()} AS key, n FROM counts")
-def counter_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counter_keys(confusion(spark, sf_dir))
+def query_counter_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counter_keys(query_confusion_counts(spark, sf_dir))
 
 
 @_query(_ITEM_COUNTS + " " + O.accuracy_sql())
-def accuracy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accuracy(confusion(spark, sf_dir)).select("type", F.round("value", 6).alias("value"))
+def query_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy(query_confusion_counts(spark, sf_dir)).select("type", F.round("value", 6).alias("value"))
 
 
 @_query(
@@ -305,8 +308,8 @@ def accuracy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """ SELECT '{"output":[' || string_agg('{"type":"' || type || '","value":' || CAST(value AS VARCHAR) || '}', ','
                  ORDER BY CASE type WHEN 'ACC pretrained' THEN 0 ELSE 1 END) || ']}' AS json FROM acc"""
 )
-def accuracy_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accuracy_json(confusion(spark, sf_dir), decimals=6)
+def query_accuracy_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy_json(query_confusion_counts(spark, sf_dir), decimals=6)
 
 
 # Fitting.
@@ -317,7 +320,7 @@ def accuracy_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT 'cold' AS model, k, round(-avg((0.5 - label) * f[k]), 6) AS weight"
     f" FROM items, range(1, {N_FEATURES + 1}) AS r(k) GROUP BY k"
 )
-def sgd_first_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_sgd_first_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = sgd_fit(_items(spark, sf_dir), [cold_model()], FIRST_STEP)
     return _weight_rows(spark, fitted.values())
 
@@ -333,7 +336,7 @@ def sgd_first_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " "
     + O.weights_out_sql("fit")
 )
-def sgd_fit_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_sgd_fit_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weight_rows(spark, sgd_fit(_items(spark, sf_dir), [cold_model()], TEN_STEPS).values())
 
 
@@ -348,7 +351,7 @@ def sgd_fit_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " "
     + O.weights_out_sql("fit")
 )
-def warm_start_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_warm_start_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "models")
     save_models(spark, FIXED, path)
     start = [Model.from_row(row) for row in read_models(spark, path).collect()]
@@ -373,13 +376,13 @@ _OFFLINE_FIT = (
     )
     + " SELECT * FROM counts"
 )
-def offline_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_offline_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, rest = train_offline(_items(spark, sf_dir), list(X.ITEM_KEYS))
     return holdout_confusion(rest, model)
 
 
 @_query()
-def lbfgs_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_lbfgs_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weight_rows(spark, [lbfgs_fit(_items(spark, sf_dir))])
 
 
@@ -390,7 +393,7 @@ def lbfgs_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
                   {N_FEATURES} AS n_features, 2 AS n_classes
            FROM vectors, range(1, {N_FEATURES + 1}) AS r(k) GROUP BY k"""
 )
-def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "models")
     save_models(spark, sgd_fit(_vectors(spark, sf_dir), [cold_model()], FIRST_STEP).values(), path)
     stored = read_models(spark, path).select("*", F.posexplode("weights").alias("pos", "w"))
@@ -409,7 +412,7 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(O.with_sql(O.STREAM_SQL) + f" SELECT label, {O.CELLS_SQL} AS cells FROM stream")
-def stream_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_stream_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, files = write_micro_batches(spark, sf_dir)
     out = shared_folder(spark, "parsed")
     parsed = parse_labelled(stream_text(spark, path, files)).select("label", _cells_text().alias("cells"))
@@ -444,7 +447,7 @@ def _streamed_counts(
     )
     + " SELECT * FROM counts"
 )
-def stream_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_stream_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed_counts(spark, sf_dir, FIXED, train=False)
 
 
@@ -463,7 +466,7 @@ def stream_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     + " SELECT * FROM counts"
 )
-def stream_prequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_stream_prequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     warm, _ = train_offline(_items(spark, sf_dir), list(X.ITEM_KEYS))
     return _streamed_counts(spark, sf_dir, [warm, cold_model()], train=True)
 
@@ -481,7 +484,7 @@ _REPORT = (
 
 
 @_query(O.with_sql(*_REPORT) + " SELECT batch_id, model, round(accuracy, 6) AS accuracy FROM running")
-def running_accuracy_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Blocks shorter than the history, so that the check covers sums across blocks.
     series = running_accuracy(_batch_counts(spark, sf_dir, REPORT_BATCHES), block=7)
     return series.select("batch_id", "model", F.round("accuracy", 6).alias("accuracy"))
@@ -494,6 +497,6 @@ def running_accuracy_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     + " SELECT CAST(1 - r AS INTEGER) AS seq, model, batch_id, round(accuracy, 6) AS accuracy FROM ranked WHERE r <= 20"
 )
-def last_n_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_last_n_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = last_points(running_accuracy(_batch_counts(spark, sf_dir, REPORT_BATCHES)))
     return points.withColumn("accuracy", F.round("accuracy", 6))

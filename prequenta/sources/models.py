@@ -12,7 +12,8 @@ from prequenta.model import MODEL_SCHEMA, Model
 
 
 def _models_frame(spark: SparkSession, models: Iterable[Model]) -> DataFrame:
-    return spark.createDataFrame([m.as_row() for m in models], MODEL_SCHEMA).coalesce(1)
+    """The models as a literal table: planned on the driver, written by one small task."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(m.as_sql() for m in models)} AS t({', '.join(MODEL_SCHEMA.names)})")
 
 
 def read_models(spark: SparkSession, path: str) -> DataFrame:

@@ -23,8 +23,14 @@ def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = N
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
-    """The header cells, as the CSV reader finds them at the start of a file."""
-    return spark.read.option("header", True).option("sep", DELIMITER).csv(path).columns
+    """The cells of the first line that is not empty, as they stand.
+
+    For a folder this is the start of one of its files; all are expected to share it.
+    """
+    first = read_lines(spark, path).where("value != ''").first()
+    if first is None:
+        raise ValueError(f"there is no header in {path}")
+    return first["value"].split(DELIMITER)
 
 
 def read_labelled_csv(

@@ -52,12 +52,12 @@ def test_entry(spark):
 
 
 def test_random_split_keeps_all_rows(spark, sf_dir):
-    sides = catalog.random_split_sides(spark, sf_dir)
+    sides = catalog.query_random_split(spark, sf_dir)
     assert sides.count() == fixtures.table(spark, sf_dir, "lineitem").count()
 
 
 def test_warm_starts_ahead_and_cold_catches_up(spark, sf_dir):
-    series = q.running_accuracy(catalog.stream_prequential(spark, sf_dir)).collect()
+    series = q.running_accuracy(catalog.query_stream_prequential(spark, sf_dir)).collect()
     value = {(r["batch_id"], r["model"]): r["accuracy"] for r in series}
     assert value[0, "pretrained"] > value[0, "cold"]
     assert value[9, "pretrained"] - value[9, "cold"] < value[0, "pretrained"] - value[0, "cold"]

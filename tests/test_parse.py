@@ -92,3 +92,21 @@ def test_named_rows(lines):
 def test_payload_strips_blanks_and_encodes(lines):
     rows = q.publish_payload(lines(" \t1,2,1\r\n", "é,1 ")).collect()
     assert [bytes(r["value"]) for r in rows] == [b"1,2,1", "é,1".encode("utf8")]
+
+
+def test_header_cells_are_taken_as_they_stand(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"a","a",label\n1,2,1\n')
+    assert read_header(spark, str(tmp_path)) == ['"a"', '"a"', "label"]
+    assert read_labelled_csv(spark, str(tmp_path), n_features=2).first()["features"] == [1.0, 2.0]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.csv").write_text("")
+    with pytest.raises(ValueError, match="no header"):
+        read_header(spark, str(tmp_path / "empty"))
+
+
+def test_wide_records(spark):
+    line = ",".join(["1"] * 300 + ["-1"])
+    df = spark.createDataFrame([(line,)], "value string")
+    points = q.parse_labelled(df, n_features=300)
+    scored = q.score(points, [q.Model.of(f"m{j}", [0.01 * j - 0.02] * 300) for j in range(4)])
+    assert tuple(scored.first()) == (0, 0, 0, 1, 0)

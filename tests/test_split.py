@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 
 import prequenta as q
+from prequenta.functions.hashing import BUCKETS, MODULUS, MULTIPLIER, key_bucket
 from pyspark.sql import functions as F
 
 
@@ -35,3 +36,16 @@ def test_bootstrap_repeats_rows(spark):
     drawn = Counter(r[0] for r in q.bootstrap_sample(spark.range(5_000), 1.0, seed=3).collect())
     assert max(drawn.values()) > 1 and 4_500 < sum(drawn.values()) < 5_500
     assert set(drawn) <= set(range(5_000))
+
+
+def test_bucket_arithmetic(spark):
+    keys = [(0, 0), (1, -1), (-(2**63), 2**63 - 1), (MODULUS, -MODULUS), (123456789012, 7)]
+    df = spark.createDataFrame(keys, "a bigint, b bigint")
+    got = [r[0] for r in df.select(key_bucket([F.col("a"), F.col("b")], seed=5)).collect()]
+    want = []
+    for row in keys:
+        state = 5
+        for key in row:
+            state = (state + key % MODULUS) % MODULUS * MULTIPLIER % MODULUS
+        want.append(state % BUCKETS)
+    assert got == want
