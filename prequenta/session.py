@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -10,6 +11,11 @@ from pyspark.sql import SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="prequenta-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path for one intermediate table, below the folder the cluster names.
 
@@ -20,8 +26,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        base = "file://" + tempfile.mkdtemp(prefix="prequenta-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/prequenta/{purpose}-{uuid4().hex}"
 
 
