@@ -50,16 +50,16 @@ def counts_sql(by: tuple[str, ...] = ()) -> str:
     return f"counts AS (SELECT {columns}, count(*) AS n FROM scored GROUP BY {columns})"
 
 
-def _gradient_step(state: str, points: str, join: str, columns: str, settings: SgdSettings, group: str) -> str:
-    """One descent step for every row of ``state``; yields ``columns``, ``i``, ``w``, ``v`` (new weights)."""
+def _gradient_step(state: str, points: str, join: str, keys: str, settings: SgdSettings) -> str:
+    """One descent step for every row of ``state``; yields ``keys``, ``i``, ``w``, ``v`` (new weights)."""
     scale = f"({settings.step!r} / sqrt(any_value(i) + 1))"
     new = ", ".join(
         f"any_value(w)[{k}] * (1 - {scale} * {settings.reg_param!r}) - {scale} * avg(e * x[{k}])"
         for k in range(1, N_FEATURES + 1)
     )
-    return f"""SELECT {columns}, any_value(i) AS i, any_value(w) AS w, [{new}] AS v
+    return f"""SELECT {keys}, any_value(i) AS i, any_value(w) AS w, [{new}] AS v
         FROM (SELECT {state}.*, p.x, 1 / (1 + exp(-list_dot_product(p.x, {state}.w))) - p.y AS e
-              FROM {state} JOIN {points} AS p ON {join}) GROUP BY {group}"""
+              FROM {state} JOIN {points} AS p ON {join}) GROUP BY {keys}"""
 
 
 def _moved_little(settings: SgdSettings) -> str:
@@ -70,20 +70,21 @@ def _moved_little(settings: SgdSettings) -> str:
 
 def fit_sql(name: str, points: str, start: str, settings: SgdSettings) -> str:
     """``<name>(model, w)``: gradient descent over ``points(x, y)`` from ``start(model, w)``."""
-    step = _gradient_step(f"{name}_steps", points, "true", "model", settings, "model")
+    unfinished = f"NOT {name}_steps.done AND {name}_steps.i < {settings.iterations}"
+    step = _gradient_step(f"{name}_steps", points, unfinished, "model", settings)
     return f"""
     {name}_steps(model, i, w, done) AS (
         SELECT model, 0, w, false FROM {start}
         UNION ALL
         SELECT model, i + 1, v, {_moved_little(settings)} FROM (
-            {step.replace(f"ON true) GROUP", f"ON NOT {name}_steps.done AND {name}_steps.i < {settings.iterations}) GROUP")})),
+            {step})),
     {name} AS (SELECT model, arg_max(w, i) AS w FROM {name}_steps GROUP BY model)"""
 
 
 def prequential_sql(name: str, points: str, start: str, settings: SgdSettings) -> str:
     """``<name>(model, batch_id, w)``: the weights each batch of ``points(batch_id, x, y)`` meets."""
     step = _gradient_step(
-        f"{name}_steps", points, f"p.batch_id = {name}_steps.batch_id", "model, batch_id", settings, "model, batch_id"
+        f"{name}_steps", points, f"p.batch_id = {name}_steps.batch_id", "model, batch_id", settings
     )
     last = f"({_moved_little(settings)} OR i + 1 = {settings.iterations})"
     return f"""
