@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-@cache
-def _local_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="prequenta-")
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path for one intermediate table, below the folder the cluster names.
 
-    The folder is read from ``spark.checkpoint.dir``. Only a local session may go without
-    it, because there every executor sees the driver's temporary folder.
+    The folder is read from ``spark.checkpoint.dir``, or else it lies below the session's
+    warehouse. Both are reachable for every executor, so the rule is the same on any master.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        base = _local_folder()
+    base = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get(WAREHOUSE_DIR).rstrip('/')}/intermediate"
     return f"{base.rstrip('/')}/prequenta/{purpose}-{uuid4().hex}"
 
 

@@ -32,7 +32,7 @@ def rows(columns, values):
     return sorted(repr(tuple(v[i] for i in order)) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_equals_its_sql(spark, duck, sf_dir, name):
     frame = contract.queries()[name](spark, sf_dir)
     result = duck.execute(contract.oracle_sql()[name])
@@ -41,7 +41,7 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
     assert rows(frame.columns, [tuple(r) for r in frame.collect()]) == rows(columns, result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert contract.queries()[name](spark, sf_dir).count() > 0
 

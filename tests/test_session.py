@@ -5,22 +5,20 @@ import pytest
 from prequenta.session import drop_folder, shared_folder
 
 
-def session(folder, master):
-    conf = SimpleNamespace(get=lambda key, default: folder if key == "spark.checkpoint.dir" else default)
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+def session(folder):
+    conf = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": "s3a://store/warehouse"}
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf[key] or default))
 
 
 def test_the_named_folder_is_used(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert first.startswith(named) and first != second
-    assert shared_folder(session("hdfs:///shared/", "yarn"), "x").startswith("hdfs:///shared/prequenta/x-")
+    assert shared_folder(session("hdfs:///shared/"), "x").startswith("hdfs:///shared/prequenta/x-")
 
 
-def test_only_a_local_session_may_go_without():
-    assert shared_folder(session(None, "local[2]"), "x").startswith("file://")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session(None, "yarn"), "x")
+def test_else_it_lies_below_the_warehouse():
+    assert shared_folder(session(None), "x").startswith("s3a://store/warehouse/intermediate/prequenta/x-")
 
 
 def test_drop_folder(spark):
