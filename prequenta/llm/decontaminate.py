@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prequenta.llm.common import table
+from prequenta.llm.common import table, written
 
 WINDOW = 8
 MIN_LITERALS = 3
 MIN_COVERAGE = 0.6
 MIN_CONSISTENCY = 0.9
 MAX_BITS = 28  # of the bitmap: 32 MB
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds ounce ounces lb lbs oz ml "
@@ -212,7 +212,8 @@ def leaks(
                     ["id", "hash", "slots"],
                 )
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col(text)).where("doc_id IS NOT NULL").mapInArrow(search, WINDOWS)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col(text)).where("doc_id IS NOT NULL")
+    found = written(texts.mapInArrow(search, WINDOWS), "leaks-found")
     different = windows.groupBy("item", "hash").agg(F.min("slots").alias("item_slots"))
     total = windows.groupBy("item").agg(F.countDistinct("hash").alias("n_windows"))
     met = found.join(different, "hash").select("id", "item", "hash", "slots", "item_slots").dropDuplicates(["id", "item", "hash"])
