@@ -9,10 +9,10 @@ Texts that agree in a band are candidates, verified by alignment. Shingles are o
 the band of diagonals that the threshold allows; the similarity is aligned / (n1 + n2 - aligned)
 and must reach ``THRESHOLD``. Classes are the connected components of the verified links.
 
-Work per bucket of a band is linear as long as its texts are alike: every text is compared with the
-bucket's smallest one (first only with the smallest of all its buckets). Where a text is not linked
-to it, that text is compared with the whole bucket, as far as still in different classes; so each
-pair that shares a bucket ends up in one class or has been compared.
+Work per bucket of a band is linear in its texts, and no pairs are formed: the texts of a bucket are
+compared with its hub, the text that shares most places with others. Those that do not end up in
+the hub's class form a bucket of their own with the next hub, and so on until a round finds no link.
+Texts are only compared while they are in different classes.
 
 Equal texts (same words, any case and spacing) are one node throughout. With 32 bands a pair at the
 threshold is missed with a chance of about 3e-6, one at 0.85 with 1e-8.
@@ -40,10 +40,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 32
 SAMPLE = 5
-SHORT = 12  # texts of fewer shingles are sampled one at a time ...
-SHORT_BANDS = 8
+SHORT = 12  # texts of fewer shingles are sampled less at a time ...
+SHORT_SAMPLE = 3
+SHORT_BANDS = 24
 SHORT_UPTO = 15  # ... and so are those that may be similar to them
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
+SLICE = 128  # texts that are split into words at a time
 
 _R = np.random.default_rng(20)
 _MULTIPLY = _R.integers(1, 2**63, BANDS + SHORT_BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,9 +100,9 @@ def signatures(labelled: np.ndarray) -> np.ndarray:
             value = labelled[None, :] * _MULTIPLY[t : t + step, None] + _ADD[t : t + step, None]
             at = np.sort(np.argpartition(value, SAMPLE - 1, axis=1)[:, :SAMPLE], axis=1)
             out.append(_ordered(labelled[at], np.arange(t, t + len(at))))
-    if 0 < n <= SHORT_UPTO:
+    if SHORT_SAMPLE < n <= SHORT_UPTO:  # with fewer shingles only equal texts are similar enough
         value = labelled[None, :] * _MULTIPLY[BANDS:, None] + _ADD[BANDS:, None]
-        at = np.argmin(value, axis=1)[:, None]
+        at = np.sort(np.argpartition(value, SHORT_SAMPLE - 1, axis=1)[:, :SHORT_SAMPLE], axis=1)
         out.append(_ordered(labelled[at], np.arange(BANDS, BANDS + SHORT_BANDS)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -112,14 +114,10 @@ def _ordered(picked: np.ndarray, band: np.ndarray) -> np.ndarray:
     return value
 
 
-def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Similarity by the best alignment within the band; 0.0 if the threshold is out of reach."""
+def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[bool, int]:
+    """(similar, insertions and deletions of the best alignment); within the band first, in full if that fails."""
     n = len(a) + len(b)
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
     needed = int(np.ceil(threshold * n / (1 + threshold) - 1e-9))
-    if min(len(a), len(b)) < needed:
-        return 0.0
     short = min(len(a), len(b))
     differ = np.flatnonzero(a[:short] != b[:short])
     head = int(differ[0]) if len(differ) else short
@@ -127,17 +125,21 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
     tail = int(differ[0]) if len(differ) else short - head
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    band = n - 2 * needed  # more insertions and deletions than that miss the threshold
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    if head + tail + len(i) < needed:
-        return 0.0
-    ends: list[int] = []  # smallest end of a chain of each length
-    for x in j[np.argsort(i)].tolist():
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    near = np.abs(i - j) <= n - 2 * needed  # more insertions and deletions than that miss the threshold
+    same = head + tail + _longest_rise(j[near])
+    if same < needed and not near.all():
+        same = head + tail + _longest_rise(j)
+    return same >= needed and n > 0, n - 2 * same
+
+
+def _longest_rise(values: np.ndarray) -> int:
+    ends: list[int] = []  # smallest end of a rising chain of each length
+    for x in values.tolist():
         at = bisect_left(ends, x)
         ends[at : at + 1] = [x]
-    same = head + tail + len(ends)
-    return same / (n - same) if same >= needed else 0.0
+    return len(ends)
 
 
 def _words(text: str | None) -> list[str]:
@@ -151,22 +153,35 @@ def _digest(words: list[str]) -> bytes:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = Words()
     for batch in batches:
-        words = [_words(t) for t in batch.column(1).to_pylist()]
-        found = [signatures(shingles(w, memo)).view(np.int64) for w in words]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([_digest(w) for w in words], pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-            ["doc_id", "node", "bands"],
-        )
+        for start in range(0, batch.num_rows, SLICE):
+            words = [_words(t) for t in batch.column(1).slice(start, SLICE).to_pylist()]
+            found = [shingles(w, memo) for w in words]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(start, SLICE),
+                    pa.array([_digest(w) for w in words], pa.binary()),
+                    pa.array(list(map(len, found)), pa.int64()),
+                    pa.array([signatures(f).view(np.int64) for f in found], pa.list_(pa.int64())),
+                ],
+                ["doc_id", "node", "size", "bands"],
+            )
+
+
+VERIFIED = "a binary, b binary, same boolean, distance long"
 
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for batch in batches:
-            same = []
-            for a, b in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True):
-                same.append(aligned(shingles(_words(a), memo), shingles(_words(b), memo), threshold) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.bool_())], ["a", "b", "same"])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                got = [
+                    aligned(shingles(_words(a), memo), shingles(_words(b), memo), threshold)
+                    for a, b in zip(part.column("a_text").to_pylist(), part.column("b_text").to_pylist(), strict=True)
+                ]
+                columns = [part.column("a"), part.column("b"), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "same", "distance"])
 
     return run
 
@@ -181,7 +196,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
         .select("a", "b", "a_text", "b_text")
     )
-    result = written(both.mapInArrow(_verify(threshold), "a binary, b binary, same boolean"), "neardup-verified")
+    result = written(both.mapInArrow(_verify(threshold), VERIFIED), "neardup-verified")
     drop_written(texts)
     return result
 
@@ -217,31 +232,32 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size): one row per row of docs with an id; a class is named by its smallest id."""
     docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    rows = written(docs.mapInArrow(_sketches, docs.select("doc_id", F.lit(None).cast("binary").alias("node"), F.lit(None).cast("array<bigint>").alias("bands")).schema), "neardup-sketches")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands")), "neardup-nodes")
+    rows = written(docs.mapInArrow(_sketches, docs.select("doc_id", F.lit(None).cast("binary").alias("node"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("array<bigint>").alias("bands")).schema), "neardup-sketches")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")), "neardup-nodes")
     places = nodes.select("node", F.explode("bands").alias("bucket"))
-    pivots = places.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
-    members = written(places.join(pivots, "bucket"), "neardup-buckets")
+    crowds = places.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    members = written(places.join(crowds, "bucket"), "neardup-members")
+    degrees = members.groupBy("node").agg(F.sum("crowd").alias("degree"))
+    members = written(members.select("bucket", "node").join(degrees, "node"), "neardup-buckets")
     ids = nodes.select("node", "doc_id")
 
-    star = members.where("node != pivot")
-    first = star.groupBy(F.col("node").alias("a")).agg(F.min("pivot").alias("b"))
-    tested = _verified(first, ids, docs, threshold)
-    labels = components(tested.where("same"))
-    more = _across(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), labels)
-    more = written(more, "neardup-pairs")
-    if not more.isEmpty():
-        tested = tested.unionByName(_verified(more, ids, docs, threshold))
-        labels = components(tested.where("same"))
-    # Texts that are not in their pivot's class meet the rest of the bucket.
-    apart = _across(star.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "bucket"), labels).select("a", "bucket").distinct()
-    rest = apart.join(members.select("bucket", F.col("node").alias("b")), "bucket").where("a != b")
-    rest = _across(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), labels)
-    either_way = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(either_way, ["a", "b"], "left_anti"), "neardup-pairs")
-    if not rest.isEmpty():
-        tested = tested.unionByName(_verified(rest, ids, docs, threshold))
-        labels = components(tested.where("same"))
+    tested, labels, fresh = None, None, True
+    while fresh:
+        hubs = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub")).select("bucket", "hub")
+        spokes = written(members.join(hubs, "bucket").where("node != hub.node"), "neardup-spokes")
+        if tested is None:  # at first each text only meets the greatest of its hubs
+            pairs = spokes.groupBy(F.col("node").alias("a")).agg(F.max("hub").alias("hub")).select("a", F.col("hub.node").alias("b"))
+            tested = _verified(pairs, ids, docs, threshold)
+            labels = components(tested.where("same"))
+        pairs = spokes.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), "bucket")
+        untested = _across(pairs, labels).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        result = _verified(written(untested, "neardup-pairs"), ids, docs, threshold)
+        tested = tested.unionByName(result)
+        fresh = not result.where("same").isEmpty()
+        if fresh:
+            labels = components(tested.where("same"))
+            apart = _across(pairs, labels).select(F.col("a").alias("node"), "bucket")
+            members = written(members.join(apart, ["node", "bucket"], "left_semi"), "neardup-buckets")
 
     labelled = nodes.select("node", "doc_id", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
