@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from prequenta.llm import bpe, decontaminate, html, neardup, secrets, tokencount, topk, toxicity
+from prequenta.llm import bpe, decontaminate, html, neardup, secrets, suffixes, tokencount, topk, toxicity
 
 QUERIES = {
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_repeated_strings": suffixes.op4_repeated_strings,
     "op5_token_counts": tokencount.op5_token_counts,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
