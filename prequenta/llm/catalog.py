@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from prequenta.llm import bpe, decontaminate, html, neardup, secrets, suffixes, tokencount, topk, toxicity
+from prequenta.llm import bpe, decontaminate, html, katz, neardup, secrets, suffixes, tokencount, topk, toxicity
 
 QUERIES = {
+    "op1_katz_scores": katz.op1_katz_scores,
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_repeated_strings": suffixes.op4_repeated_strings,
