@@ -42,9 +42,9 @@ FOLDS = 7
 HELD_OUT = 2
 MAX_DISCOUNTED = 5
 HEAD_WORDS = 1 << 17
-BLOCK_TOKENS = 1 << 20
-BUCKET_TOKENS = 3_000_000
-MEMO_WORDS = 300_000
+BLOCK_TOKENS = 1 << 19
+BUCKET_TOKENS = 800_000
+MEMO_WORDS = 200_000
 
 END, START, FIRST = 1, 2, 16  # codes; head words follow from FIRST on
 _TAIL = np.uint64(1 << 63)
