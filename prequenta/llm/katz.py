@@ -91,15 +91,18 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def discounts(n: list[float], k: int = MAX_DISCOUNTED) -> np.ndarray:
-    """Good-Turing discount of counts 0..k (index 0 unused), from counts of counts n[0..k+1]; 1.0 where they are no use."""
-    out = np.ones(k + 1)
+    """Good-Turing discount of counts 0..k (index 0 unused), from counts of counts n[0..k+1].
+
+    Always between 0 and 1: r / (r + 1) where the counts of counts give nothing of use.
+    """
+    out = np.arange(k + 1) / (np.arange(k + 1) + 1.0)
     if n[1] <= 0:
         return out
     tail = (k + 1) * n[k + 1] / n[1]
     for r in range(1, k + 1):
         if n[r] > 0 and tail < 1:
             d = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail)
-            if 0 < d <= 1:
+            if 0 < d < 1:
                 out[r] = d
     return out
 
@@ -231,7 +234,8 @@ def _ship(head):
     return run
 
 
-# kind 0: sums per text of a block; 1: unseen bigrams; 2: the model's bigrams; 3: histories; 4: rare words seen after a history.
+# kind 0: sums per text of a block; 1: unseen bigrams; 2: the model's bigrams; 3: histories; 4: rare words seen after a history;
+# 5: seen bigrams of spread histories that may need one more occurrence.
 REDUCED = (
     "kind int, block long, doc array<int>, h array<long>, w array<long>, n array<long>, known array<int>, base array<double>, logs array<double>, bucket int"
 )
@@ -302,6 +306,10 @@ def _reduce(head):
             logs = np.bincount(doc[ok], log_count[pair[ok]] - log_total[hist[ok]], n_docs)[touched]
             few = [np.bincount(doc, c == r, n_docs)[touched] for r in range(1, k + 1)]
             add(0, block, touched.astype(np.int32), n=np.concatenate(few).astype(np.int64), known=known.astype(np.int32), base=base, logs=logs)
+            # A spread history of which this bucket has no low count: its other buckets decide.
+            unsure = ok & (~alone[hist]) & (low[:k].sum(0) == 0)[hist]
+            if unsure.any():
+                add(5, block, doc[unsure].astype(np.int32), vh[hist[unsure]].view(np.int64))
             if not ok.all():
                 miss = ~ok
                 add(1, block, doc[miss].astype(np.int32), uh[pair[miss]].view(np.int64), uw[pair[miss]].view(np.int64))
@@ -402,7 +410,8 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text") -> DataFrame
     sums = history.unionByName(rare_mass.select("history", "mass", *[F.lit(0).cast("long").alias(f"s{j}") for j in range(k + 3)]))
     sums = sums.groupBy("history").agg(*[F.sum(c).alias(c) for c in ("mass", *[f"s{j}" for j in range(k + 3)])])
     cut = sum((F.col(f"s{r + 1}") * F.lit(float((1 - d[r]) * r)) for r in range(1, k + 1)), F.lit(0.0))
-    left = F.greatest((cut + F.col("s1")) / (F.col("s0") + F.col("s1")), F.lit(1.0) / (F.col("s0") + 1))
+    no_low = sum((F.col(f"s{r + 1}") for r in range(1, k + 1)), F.lit(0)) == 0
+    left = F.when(no_low, F.lit(1.0) / (F.col("s0") + 1)).otherwise(cut / F.col("s0"))
     alpha = written(sums.select("history", F.log10(left / F.greatest(1 - F.col("mass"), F.lit(unknown))).alias("log_alpha")), "katz-alpha")
 
     # Unseen bigrams of held-out texts. Short codes are looked up in tables of bounded size.
@@ -419,7 +428,13 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text") -> DataFrame
 
     by_history = looked_up("history", alpha.where("history >= 0"), alpha.where("history < 0"), F.coalesce("log_alpha", F.lit(0.0)))
     by_word = looked_up("word", head_p, rare_p, F.log10(F.coalesce("p", F.lit(unknown))))
-    backed = by_history.unionByName(by_word).groupBy("block", "doc").agg(F.sum("part").alias("part"))
+    spread = reduced.where("kind = 5").select("block", F.explode(F.arrays_zip("doc", "h")).alias("x")).select(
+        "block", F.col("x.doc").alias("doc"), F.col("x.h").alias("history")
+    )
+    undiscounted = sums.where(no_low & (F.col("s1") == 0)).select("history", "s0")
+    raised = spread.groupBy("block", "doc", "history").agg(F.count("*").alias("n")).join(undiscounted, "history")
+    raised = raised.groupBy("block", "doc").agg(F.sum(-F.col("n") * F.log10((F.col("s0") + 1) / F.col("s0"))).alias("part"))
+    backed = by_history.unionByName(by_word).unionByName(raised).groupBy("block", "doc").agg(F.sum("part").alias("part"))
 
     per_text = reduced.where("kind = 0").groupBy("block").applyInArrow(_texts(d, head), "block long, doc int, known long, base double, sum double")
     listed = rows.select("doc_id", "text", "train").mapInArrow(

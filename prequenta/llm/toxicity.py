@@ -270,7 +270,7 @@ def label_model(votes: dict[int, int], m: int, prior: float, steps: int = 50) ->
     for part in range(2):
         if part:
             parents = _tree(bits, n, q)
-        for _ in range(steps):
+        for _ in range(steps if part else 2):  # dependencies are found before they can mislead
             rates = _rates(bits, n, q, parents)
             prior = float(np.clip((n * q).sum() / n.sum(), 1e-4, 0.5))
             q = _expected(bits, prior, rates, parents)
