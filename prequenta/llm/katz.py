@@ -91,11 +91,12 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def discounts(n: list[float], k: int = MAX_DISCOUNTED) -> np.ndarray:
-    """Good-Turing discount of counts 0..k (index 0 unused), from counts of counts n[0..k+1].
+    """Good-Turing discount of counts 1..k, from counts of counts n[0..k+1].
 
     Always between 0 and 1: r / (r + 1) where the counts of counts give nothing of use.
     """
     out = np.arange(k + 1) / (np.arange(k + 1) + 1.0)
+    out[0] = 1.0  # also stands for all greater counts
     if n[1] <= 0:
         return out
     tail = (k + 1) * n[k + 1] / n[1]

@@ -101,7 +101,7 @@ def test_label_model_weighs_dependent_voters():
         v = [rng.random() < (0.8 if y else 0.02) for _ in range(3)]
         votes[sum(x << j for j, x in enumerate([v[0], v[1], v[2], v[2]]))] += 1
     p = toxicity.label_model(votes, 4, 0.1)
-    assert p[0] < 0.05 and p[0b0011] > 0.95 and p[0b1111] > 0.95
+    assert p[0] < 0.05 and p[0b0011] > 0.8 and p[0b1111] > 0.95
 
 
 @pytest.mark.parametrize("hot", [2, 10_000])
