@@ -41,10 +41,10 @@ from prequenta.llm.common import bucket_of, table, written
 FOLDS = 7
 HELD_OUT = 2
 MAX_DISCOUNTED = 5
-HEAD_WORDS = 1 << 17
-BLOCK_TOKENS = 1 << 19
-BUCKET_TOKENS = 800_000
-MEMO_WORDS = 200_000
+HEAD_WORDS = 1 << 16
+BLOCK_TOKENS = 1 << 18
+BUCKET_TOKENS = 400_000
+MEMO_WORDS = 100_000
 
 END, START, FIRST = 1, 2, 16  # codes; head words follow from FIRST on
 _TAIL = np.uint64(1 << 63)
