@@ -22,7 +22,8 @@ def drop_header(df: DataFrame, header: str, line: str = "value") -> DataFrame:
     Works for any number of files, each with its own header line.
     """
     first = header.split(C.DELIMITER)[0]
-    return df.where(F.split_part(df[line], F.lit(C.DELIMITER), F.lit(1)) != first)
+    # A NULL line is no header: it stays, for the parser to judge.
+    return df.where(~F.split_part(df[line], F.lit(C.DELIMITER), F.lit(1)).eqNullSafe(first))
 
 
 def parse_labelled(
@@ -44,6 +45,7 @@ def parse_labelled(
     ints = _integer_rows(df, line, keep)
     raw_label = f"get(_cells, {n_features})"
     reason = f"""CASE
+        WHEN _line IS NULL THEN 'no line'
         WHEN _width != {n_features + 1} THEN concat('cells in line: ', _width)
         WHEN {C.any_missing("_cells")} THEN 'a cell is no integer'
         WHEN {raw_label} NOT IN ({", ".join(map(str, C.RAW_LABELS))}) THEN concat('label is neither -1 nor 1: ', {raw_label})
@@ -52,7 +54,7 @@ def parse_labelled(
     label = f"CAST({raw_label} = 1 AS INT)"
     features = f"CAST(slice(_cells, 1, {n_features}) AS ARRAY<DOUBLE>)"
     if mode == "strict":
-        failure = "raise_error(concat(_reason, ' in line: ', _line))"
+        failure = "raise_error(concat(_reason, ' in line: ', coalesce(_line, 'NULL')))"
         # Both columns carry the check, so that pruning one cannot drop it.
         return checked.selectExpr(
             *keep,

@@ -110,3 +110,18 @@ def test_wide_records(spark):
     points = q.parse_labelled(df, n_features=300)
     scored = q.score(points, [q.Model.of(f"m{j}", [0.01 * j - 0.02] * 300) for j in range(4)])
     assert tuple(scored.first()) == (0, 0, 0, 1, 0)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_null_lines_are_kept_and_rejected(spark, lines, ansi):
+    frame = q.drop_header(lines("a,b", None, "1,1"), "a,b")
+    assert frame.count() == 2
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        rejected = q.parse_labelled(frame, n_features=1, mode="permissive").where("reject_reason IS NOT NULL").collect()
+        assert [(r["line"], r["reject_reason"]) for r in rejected] == [(None, "no line")]
+        with pytest.raises(Exception, match="no line in line: NULL"):
+            q.parse_labelled(frame, n_features=1).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
