@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A multiplicative step modulo a Mersenne prime: products stay below 2^62, so plain
-# bigint arithmetic in any engine gives the same bucket.
+# Multiplicative steps modulo a Mersenne prime: products stay below 2^62, so plain
+# bigint arithmetic in any engine gives the same bucket. Two multipliers give 62 bits.
 MODULUS = 2147483647
-MULTIPLIER = 1103515245
-BUCKETS = 1_000_000
+MULTIPLIERS = (1103515245, 48271)
+BUCKETS = MODULUS * MODULUS
 
 
-def key_bucket(keys: list[Column], seed: int = 0, buckets: int = BUCKETS) -> Column:
-    """A bucket in [0, buckets) that depends on the keys and the seed alone."""
+def key_bucket(keys: list[Column], seed: int = 0) -> Column:
+    """A bucket in [0, BUCKETS) that depends on the keys and the seed alone."""
+    modulus = F.lit(MODULUS).cast("bigint")
 
-    def step(state: Column, key: Column) -> Column:
-        residue = F.pmod(key.cast("bigint"), F.lit(MODULUS).cast("bigint"))
-        return ((state + residue) % MODULUS) * F.lit(MULTIPLIER).cast("bigint") % MODULUS
+    def folded(multiplier: int) -> Column:
+        def step(state: Column, key: Column) -> Column:
+            return ((state + F.pmod(key.cast("bigint"), modulus)) % modulus) * F.lit(multiplier).cast("bigint") % modulus
 
-    start = F.lit(seed % MODULUS).cast("bigint")
-    return reduce(step, keys, start) % buckets
+        return reduce(step, keys, F.lit(seed % MODULUS).cast("bigint"))
+
+    high, low = map(folded, MULTIPLIERS)
+    return high * modulus + low
+
+
+def share_limit(fraction: float) -> int:
+    """The bucket below which a share of all buckets lies, computed without rounding of the share."""
+    return min(BUCKETS, round(Fraction(fraction) * BUCKETS))

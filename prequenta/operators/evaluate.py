@@ -43,43 +43,43 @@ def confusion_pivot(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def _accuracy_structs(counts: DataFrame, models: Sequence[str]) -> tuple[DataFrame, list[Column]]:
-    sums = []
-    for m in models:
-        mine = F.col("model") == m
-        sums.append(F.sum(F.when(mine & (F.col("predicted") == F.col("actual")), F.col("n")).otherwise(0)).alias(f"{m}_hit"))
-        sums.append(F.sum(F.when(mine, F.col("n")).otherwise(0)).alias(f"{m}_all"))
-    structs = [
-        F.struct(
-            F.lit(SERIES_LABEL.get(m, m)).alias("type"),
-            F.try_divide(F.col(f"{m}_hit").cast("double"), F.col(f"{m}_all").cast("double")).alias("value"),
-        )
-        for m in models
-    ]
-    return counts.agg(*sums), structs
-
-
-def accuracy(counts: DataFrame, models: Sequence[str] = (PRETRAINED, COLD)) -> DataFrame:
+def _accuracies(counts: DataFrame, models: Sequence[str] | None) -> DataFrame:
+    """``(place, model, type, value)`` of the named models, or of the usual two and all others in ``counts``."""
+    named = (PRETRAINED, COLD) if models is None else tuple(models)
+    kept = counts.select("model", "predicted", "actual", "n")
+    if models is not None:
+        kept = kept.where(F.col("model").isin(*named))
+    # An empty count per name, so that a model without any rows is listed too.
+    none = [F.struct(F.lit(m).alias("model"), *[F.lit(0).alias(c) for c in ("predicted", "actual", "n")]) for m in named]
+    listed = kept.unionByName(counts.sparkSession.range(1).select(F.inline(F.array(*none))))
+    hit = F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0))
+    place, label = F.lit(len(named)), F.col("model")
+    for i, m in enumerate(named):
+        place = F.when(F.col("model") == m, i).otherwise(place)
+    for m, text in SERIES_LABEL.items():
+        label = F.when(F.col("model") == m, F.lit(text)).otherwise(label)
+    value = F.try_divide(F.col("hit").cast("double"), F.col("every").cast("double"))
+    sums = listed.groupBy("model").agg(hit.alias("hit"), F.sum("n").alias("every"))
+    return sums.select(place.alias("place"), "model", label.alias("type"), value.alias("value"))
+
+
+def accuracy(counts: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """``(type, value)``: right predictions over all predictions, one row per model.
 
-    A model without any counts gets a NULL value instead of an error.
+    Without names: the usual two and every other model in ``counts``. A model without any
+    counts gets a NULL value instead of an error.
     """
-    sums, structs = _accuracy_structs(counts, models)
-    return sums.select(F.inline(F.array(*structs)))
+    return _accuracies(counts, models).orderBy("place", "model").select("type", "value")
 
 
-def accuracy_json(
-    counts: DataFrame, models: Sequence[str] = (PRETRAINED, COLD), decimals: int | None = None
-) -> DataFrame:
-    """One row ``json``: ``{"output":[{"type":...,"value":...},...]}`` in the order of ``models``."""
-    sums, structs = _accuracy_structs(counts, models)
+def accuracy_json(counts: DataFrame, models: Sequence[str] | None = None, decimals: int | None = None) -> DataFrame:
+    """One row ``json``: ``{"output":[{"type":...,"value":...},...]}`` in the order of ``models``, others by name."""
+    rows = _accuracies(counts, models)
     if decimals is not None:
-        structs = [
-            F.struct(s.getField("type").alias("type"), F.round(s.getField("value"), decimals).alias("value"))
-            for s in structs
-        ]
-    body = F.struct(F.array(*structs).alias("output"))
-    return sums.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+        rows = rows.withColumn("value", F.round("value", decimals))
+    ordered = rows.agg(F.array_sort(F.collect_list(F.struct("place", "model", "type", "value"))).alias("all"))
+    output = F.transform("all", lambda r: F.struct(r["type"].alias("type"), r["value"].alias("value")))
+    return ordered.select(F.to_json(F.struct(output.alias("output")), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def counter_keys(counts: DataFrame) -> DataFrame:

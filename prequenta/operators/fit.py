@@ -9,8 +9,6 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +31,7 @@ OFFLINE = SgdSettings(iterations=100, step=1.0, reg_param=0.01)
 ONLINE = SgdSettings(iterations=50, step=0.1, reg_param=0.0)
 
 MAX_CONCURRENT_FITS = 8
+UPDATERS = {"l2": "SquaredL2Updater", "l1": "L1Updater", None: "SimpleUpdater"}
 
 
 def _write_labelled_text(points: DataFrame, path: str) -> None:
@@ -46,50 +45,56 @@ def _write_labelled_text(points: DataFrame, path: str) -> None:
     # Most features are whole numbers: "3.0 " and "3 " are the same double, at half the size.
     short = F.replace(features, F.lit(".0 "), F.lit(" "))
     text = F.concat_ws(",", F.col("label").cast("string"), short)
+    # concat_ws would leave NULLs out and so shift the features.
+    complete = F.col("label").isNotNull() & F.col("features").isNotNull() & ~F.exists("features", lambda v: v.isNull())
+    text = F.when(complete, text).otherwise(F.raise_error(F.lit("a point without label or with a missing feature")))
     points.select(text.alias("value")).hint("rebalance").write.text(path)
 
 
 def sgd_fit(points: DataFrame, start: Iterable[Model], settings: SgdSettings = OFFLINE) -> dict[str, Model]:
     """Gradient descent from each model's weights over all of ``points``.
 
-    Runs the trainer behind ``LogisticRegressionWithSGD``: one tree-aggregated gradient job
-    per iteration over points held in executor memory and disk. Points reach it through a
-    text table in the shared folder, so no row passes through Python, all models fit on
-    one written copy, and a lost executor re-reads that copy instead of the input.
-    (``LogisticRegressionWithSGD.train`` would look at the first point in Python, which
-    starts a worker per fit and takes longer than a small batch's iterations.)
+    Runs Spark's ``LogisticRegressionWithSGD``: one tree-aggregated gradient job per
+    iteration over points held in executor memory and disk until the last model is done.
+    Points reach it through a text table in the shared folder, so no row passes through
+    Python, all models fit on one written copy, and a lost executor re-reads that copy
+    instead of the input. The Java class is used as it is, because its Python entry drops
+    the held points when the first of several fits ends.
 
     Only weights carry over; the fitted intercept is 0. Empty ``points`` are an error.
     """
+    models = list(start)
+    if len({m.name for m in models}) < len(models):
+        raise ValueError(f"model names repeat: {[m.name for m in models]}")
     spark = points.sparkSession
+    jvm = spark._jvm
+    mllib = jvm.org.apache.spark.mllib
     path = shared_folder(spark, "points")
+    labelled = None
     try:
         _write_labelled_text(points, path)
         # The Java method: the Python one would hand every point over in pickled form.
-        loader = spark._jvm.org.apache.spark.mllib.util.MLUtils
-        labelled = loader.loadLabeledPoints(spark.sparkContext._jsc.sc(), path, 1).toJavaRDD()
+        labelled = mllib.util.MLUtils.loadLabeledPoints(spark.sparkContext._jsc.sc(), path, 1)
+        labelled.persist(jvm.org.apache.spark.storage.StorageLevel.MEMORY_AND_DISK())
 
         def fit(model: Model) -> Model:
-            weights, intercept, _, n_classes = callMLlibFunc(
-                "trainLogisticRegressionModelWithSGD",
-                labelled,
-                settings.iterations,
-                settings.step,
-                settings.mini_batch_fraction,
-                DenseVector(model.weights),
-                settings.reg_param,
-                settings.reg_type,
-                False,  # no intercept
-                True,  # check that labels are 0 or 1
-                settings.tol,
+            trainer = mllib.classification.LogisticRegressionWithSGD(
+                settings.step, settings.iterations, settings.reg_param, settings.mini_batch_fraction
             )
-            return Model(model.name, tuple(float(w) for w in weights), float(intercept), n_classes=n_classes)
+            trainer.optimizer().setUpdater(getattr(mllib.optimization, UPDATERS[settings.reg_type])())
+            trainer.optimizer().setConvergenceTol(settings.tol)
+            weights = spark.sparkContext._gateway.new_array(jvm.double, len(model.weights))
+            for i, weight in enumerate(model.weights):
+                weights[i] = float(weight)
+            fitted = trainer.run(labelled, mllib.linalg.Vectors.dense(weights))
+            return Model(model.name, tuple(fitted.weights().toArray()), fitted.intercept(), n_classes=fitted.numClasses())
 
-        models = list(start)
         with ThreadPoolExecutor(min(len(models), MAX_CONCURRENT_FITS)) as pool:
             fits = [pool.submit(inheritable_thread_target(spark)(fit), m) for m in models]
             return {f.result().name: f.result() for f in fits}
     finally:
+        if labelled is not None:
+            labelled.unpersist(False)
         drop_folder(spark, path)
 
 

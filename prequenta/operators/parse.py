@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prequenta.functions import cells as C
@@ -16,14 +16,17 @@ def _integer_rows(df: DataFrame, line: str, keep: tuple[str, ...]) -> DataFrame:
     return text.select(*keep, "_line", F.size("_text").alias("_width"), C.int_cells(F.col("_text")).alias("_cells"))
 
 
+def _is_header(line: Column, header: str) -> Column:
+    # Null-safe: a NULL line is no header, so it stays for the parser to judge.
+    return F.split_part(line, F.lit(C.DELIMITER), F.lit(1)).eqNullSafe(header.split(C.DELIMITER)[0])
+
+
 def drop_header(df: DataFrame, header: str, line: str = "value") -> DataFrame:
     """Keep the lines whose first cell differs from the header's first cell.
 
     Works for any number of files, each with its own header line.
     """
-    first = header.split(C.DELIMITER)[0]
-    # A NULL line is no header: it stays, for the parser to judge.
-    return df.where(~F.split_part(df[line], F.lit(C.DELIMITER), F.lit(1)).eqNullSafe(first))
+    return df.where(~_is_header(df[line], header))
 
 
 def parse_labelled(
@@ -32,19 +35,28 @@ def parse_labelled(
     n_features: int = N_FEATURES,
     mode: str = "strict",
     keep: tuple[str, ...] = (),
+    header: str | None = None,
 ) -> DataFrame:
     """Parse lines to ``(keep..., label int, features array<double>)``.
 
     ``strict`` fails the query on the first line that has the wrong width, a cell that is
     no integer, or a label other than -1 and 1. ``permissive`` keeps every line and adds
     ``line`` and ``reject_reason``, which is NULL for good lines; see ``split_rejects``.
-    Neither mode depends on the session's ANSI setting.
+    Neither mode depends on the session's ANSI setting. With ``header``, lines that begin
+    with its first cell are dropped, as ``drop_header`` does.
     """
     if mode not in ("strict", "permissive"):
         raise ValueError(f"unknown mode {mode!r}")
-    ints = _integer_rows(df, line, keep)
+    is_header = F.lit(False)
+    if header is not None:
+        df = drop_header(df, header, line)
+        # A filter on parsed columns can be merged with the one above, and what it uses more
+        # than once is evaluated before both. So a header must not fail the parser either.
+        is_header = _is_header(F.col("_line"), header)
+    ints = _integer_rows(df, line, keep).withColumn("_header", is_header)
     raw_label = f"get(_cells, {n_features})"
     reason = f"""CASE
+        WHEN _header THEN NULL
         WHEN _line IS NULL THEN 'no line'
         WHEN _width != {n_features + 1} THEN concat('cells in line: ', _width)
         WHEN {C.any_missing("_cells")} THEN 'a cell is no integer'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prequenta.functions.hashing import BUCKETS, key_bucket
+from prequenta.functions.hashing import key_bucket, share_limit
 
 # The share of rows trained on and the seed.
 TRAIN_FRACTION = 0.02
@@ -25,7 +25,7 @@ def random_split(
 
 
 def in_train_share(keys: list[Column], fraction: float, seed: int = SEED) -> Column:
-    return key_bucket(keys, seed) < round(fraction * BUCKETS)
+    return key_bucket(keys, seed) < F.lit(share_limit(fraction)).cast("bigint")
 
 
 def hash_split(

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from prequenta.functions import cells as C
 from prequenta.model import COLD, N_FEATURES, PRETRAINED, Model, cold_model
@@ -18,7 +19,7 @@ from prequenta.operators.split import TRAIN_FRACTION, bootstrap_sample, hash_spl
 from prequenta.plans import fixtures as X
 from prequenta.plans import oracle as O
 from prequenta.plans.offline import holdout_confusion, train_offline
-from prequenta.session import shared_folder
+from prequenta.session import drop_folder, shared_folder
 from prequenta.sources.models import read_models, save_models
 from prequenta.sources.text import read_labelled_csv, read_lines
 from prequenta.sources.text import stream_lines as stream_text
@@ -67,7 +68,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_labelled(X.vector_lines(spark, sf_dir), "line", keep=("vec_id",))
+    return parse_labelled(X.vector_lines(spark, sf_dir), "line", X.VECTOR_FEATURES, keep=("vec_id",))
 
 
 def _batch_counts(spark: SparkSession, sf_dir: str, batches: int) -> DataFrame:
@@ -87,20 +88,20 @@ def _weight_rows(spark: SparkSession, models: Iterable[Model]) -> DataFrame:
     return frame.select("model", "k", F.round("weight", 6).alias("weight"))
 
 
-def write_micro_batches(spark: SparkSession, sf_dir: str, batches: int = BATCHES) -> tuple[str, int]:
-    """The event lines as text files that arrive batch after batch; the path and files per batch.
+def feed_micro_batches(spark: SparkSession, sf_dir: str, stream: Callable[[DataFrame], StreamingQuery], batches: int = BATCHES) -> None:
+    """Let the event lines arrive as text, batch after batch, and run ``stream`` to its end on each.
 
-    The file source orders by modification time, so each batch is written by its own job,
-    as the same number of files and with a pushed-down range of ids.
+    A batch is what a run finds, whatever the number of its files and their times, so the
+    result does not depend on the cluster. The range of ids of a batch is pushed down.
     """
     lines = X.stream_lines(spark, sf_dir)
     width = X.batch_width(spark, sf_dir, batches)
-    files = spark.sparkContext.defaultParallelism
     path = shared_folder(spark, "lines")
     for batch in range(batches):
         ids = F.col("event_id").between(batch * width, (batch + 1) * width - 1)
-        lines.where(ids).select("line").repartition(files).write.mode("append").text(path)
-    return path, files
+        lines.where(ids).select("line").write.mode("append").text(path)
+        stream(stream_text(spark, path)).awaitTermination()
+    drop_folder(spark, path)
 
 
 # Sources and parsing.
@@ -389,13 +390,13 @@ def query_lbfgs_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     O.with_sql(O.VECTORS_SQL)
     + f""" SELECT 'cold' AS model, CAST(0 AS BIGINT) AS version, k,
-                  round(-avg((0.5 - label) * f[k]), 6) AS weight, 0.0::DOUBLE AS intercept,
-                  {N_FEATURES} AS n_features, 2 AS n_classes
-           FROM vectors, range(1, {N_FEATURES + 1}) AS r(k) GROUP BY k"""
+                  round(0.0::DOUBLE - avg((0.5 - label) * f[k]), 6) + 0.0::DOUBLE AS weight, 0.0::DOUBLE AS intercept,
+                  {X.VECTOR_FEATURES} AS n_features, 2 AS n_classes
+           FROM vectors, range(1, {X.VECTOR_FEATURES + 1}) AS r(k) GROUP BY k"""
 )
 def query_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "models")
-    save_models(spark, sgd_fit(_vectors(spark, sf_dir), [cold_model()], FIRST_STEP).values(), path)
+    save_models(spark, sgd_fit(_vectors(spark, sf_dir), [cold_model(n_features=X.VECTOR_FEATURES)], FIRST_STEP).values(), path)
     stored = read_models(spark, path).select("*", F.posexplode("weights").alias("pos", "w"))
     return stored.select(
         "model",
@@ -413,28 +414,22 @@ def query_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(O.with_sql(O.STREAM_SQL) + f" SELECT label, {O.CELLS_SQL} AS cells FROM stream")
 def query_stream_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, files = write_micro_batches(spark, sf_dir)
-    out = shared_folder(spark, "parsed")
-    parsed = parse_labelled(stream_text(spark, path, files)).select("label", _cells_text().alias("cells"))
-    (
-        parsed.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", shared_folder(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    out, checkpoint = shared_folder(spark, "parsed"), shared_folder(spark, "checkpoint")
+
+    def scan(lines: DataFrame) -> StreamingQuery:
+        parsed = parse_labelled(lines).select("label", _cells_text().alias("cells"))
+        sink = parsed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        return sink.trigger(availableNow=True).start()
+
+    feed_micro_batches(spark, sf_dir, scan)
     return spark.read.parquet(out)
 
 
 def _streamed_counts(
     spark: SparkSession, sf_dir: str, models: Iterable[Model], train: bool
 ) -> DataFrame:
-    path, files = write_micro_batches(spark, sf_dir)
-    run = open_run(spark, shared_folder(spark, "online"))
-    run_prequential(
-        stream_text(spark, path, files), models, run, train=train, available_now=True
-    ).awaitTermination()
+    run, start = open_run(spark, shared_folder(spark, "online")), list(models)
+    feed_micro_batches(spark, sf_dir, lambda lines: run_prequential(lines, start, run, train=train, available_now=True))
     return read_counts(spark, run)
 
 

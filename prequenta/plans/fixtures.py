@@ -1,6 +1,6 @@
 """Labelled lines derived from the given tables, as DataFrames and as the same SQL.
 
-Each fixture has 30 features in {-1, 0, 1} and a raw label in {-1, 1}:
+Each fixture has 30 features (``vectors``: 64) in {-1, 0, 1} and a raw label in {-1, 1}:
 
 * ``vectors``   from ``embeddings``: almost no signal, for checking numerics;
 * ``items``     from ``lineitem``: a linear rule with bounded noise, for batch work;
@@ -30,6 +30,7 @@ def first_primes(n: int) -> list[int]:
 PRIMES = first_primes(N_FEATURES)
 HEADER = DELIMITER.join([f"f{k}" for k in range(1, N_FEATURES + 1)] + ["label"])
 CUTOFF = 0.05
+VECTOR_FEATURES = 64  # width of the given embeddings
 
 ITEM_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -41,15 +42,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _written: dict[tuple[str, str, str], str] = {}
 
 
-def _as_table(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame) -> DataFrame:
+def _as_table(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame, order: str | None = None) -> DataFrame:
     """``lines`` as a table written once per application, the way lines arrive in practice.
 
-    Rebalanced, so that the table has files of even size whatever the source had.
+    Rebalanced, so that the table has files of even size whatever the source had; with
+    ``order`` they are ranges of that column, so that a range is read from its own files.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
         path = shared_folder(spark, name)
-        lines.hint("rebalance").write.parquet(path)
+        laid_out = lines.hint("rebalance") if order is None else lines.repartitionByRange(order).sortWithinPartitions(order)
+        laid_out.write.parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
 
@@ -74,13 +77,12 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(event_id, line)``."""
     source = table(spark, sf_dir, "events")
     lines = _planted(source, ("event_id", "user_id"), "value", "user_id", "event_id").drop("user_id")
-    return _as_table(spark, sf_dir, "stream", lines)
+    return _as_table(spark, sf_dir, "stream", lines, order="event_id")
 
 
 def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(vec_id, line)``."""
-    leading = F.slice("embedding", 1, N_FEATURES).cast("array<double>")
-    features = F.transform(leading, lambda v: F.when(v > CUTOFF, 1).when(v < -CUTOFF, -1).otherwise(0))
+    features = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(v > CUTOFF, 1).when(v < -CUTOFF, -1).otherwise(0))
     label = F.when(F.col("label") % 2 == 1, 1).otherwise(-1)
     line = F.concat_ws(DELIMITER, features.cast("array<string>"), label).alias("line")
     return _as_table(spark, sf_dir, "vectors", table(spark, sf_dir, "embeddings").select("vec_id", line))
@@ -114,7 +116,7 @@ ITEMS_SQL = _planted_sql("items", "lineitem", ITEM_KEYS, "l_extendedprice", "l_p
 STREAM_SQL = _planted_sql("stream", "events", ("event_id", "user_id"), "value", "user_id", "event_id")
 VECTORS_SQL = f"""
     vectors AS (
-        SELECT vec_id, list_transform(embedding[1:{N_FEATURES}], lambda v:
+        SELECT vec_id, list_transform(embedding, lambda v:
                    CASE WHEN CAST(v AS DOUBLE) > {CUTOFF} THEN 1 WHEN CAST(v AS DOUBLE) < -{CUTOFF} THEN -1 ELSE 0 END
                ) AS f, CASE WHEN label % 2 = 1 THEN 1 ELSE 0 END AS label
         FROM embeddings)"""

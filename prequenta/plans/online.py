@@ -19,9 +19,11 @@ from prequenta.streaming.prequential import open_run, run_prequential
 
 
 def warm_and_cold(spark: SparkSession, models: str, n_features: int = N_FEATURES) -> list[Model]:
-    """The saved model under the warm name, and a model that has seen nothing."""
+    """The saved model of the warm name (or the only one saved) under that name, and a model that has seen nothing."""
     saved = load_models(spark, models)
-    warm = saved[PRETRAINED] if PRETRAINED in saved else next(iter(saved.values()))
+    if PRETRAINED not in saved and len(saved) != 1:
+        raise ValueError(f"no saved model is named {PRETRAINED!r}, and there is not just one: {sorted(saved)}")
+    warm = saved.get(PRETRAINED) or next(iter(saved.values()))
     if warm.n_features != n_features:
         raise ValueError(f"the saved model has {warm.n_features} features, the stream {n_features}")
     return [replace(warm, name=PRETRAINED), cold_model(n_features=n_features)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prequenta.functions.hashing import BUCKETS, MODULUS, MULTIPLIER
+from prequenta.functions.hashing import MODULUS, MULTIPLIERS, share_limit
 from prequenta.model import COLD, KEY_SUFFIX, N_FEATURES, PRETRAINED, SERIES_LABEL, Model
 from prequenta.operators.fit import SgdSettings
 from prequenta.operators.split import SEED
@@ -25,14 +25,19 @@ def predict_sql(weights: str) -> str:
 
 
 def bucket_sql(keys: tuple[str, ...], seed: int = SEED) -> str:
-    state = f"CAST({seed % MODULUS} AS BIGINT)"
-    for key in keys:
-        state = f"(({state} + ((CAST({key} AS BIGINT) % {MODULUS}) + {MODULUS}) % {MODULUS}) % {MODULUS}) * {MULTIPLIER} % {MODULUS}"
-    return f"({state}) % {BUCKETS}"
+    def folded(multiplier: int) -> str:
+        state = f"CAST({seed % MODULUS} AS BIGINT)"
+        for key in keys:
+            residue = f"((CAST({key} AS BIGINT) % {MODULUS}) + {MODULUS}) % {MODULUS}"
+            state = f"(({state} + {residue}) % {MODULUS}) * {multiplier} % {MODULUS}"
+        return state
+
+    high, low = map(folded, MULTIPLIERS)
+    return f"({high}) * {MODULUS} + ({low})"
 
 
 def in_train_sql(keys: tuple[str, ...], fraction: float) -> str:
-    return f"{bucket_sql(keys)} < {round(fraction * BUCKETS)}"
+    return f"{bucket_sql(keys)} < {share_limit(fraction)}"
 
 
 def scored_sql(source: str, models: tuple[Model, ...], keep: tuple[str, ...]) -> str:

@@ -26,9 +26,8 @@ def main(argv: list[str] | None = None) -> None:
         raise SystemExit(f"there is no run below {opt.out}")
     counts = read_counts(spark, run)
     print(accuracy_json(counts).first()["json"])
-    last_points(running_accuracy(counts), opt.points, seed_zeros=True).orderBy("model", "seq").show(
-        2 * opt.points, truncate=False
-    )
+    points = last_points(running_accuracy(counts), opt.points, seed_zeros=True).orderBy("model", "seq")
+    points.show(points.count(), truncate=False)
 
 
 if __name__ == "__main__":

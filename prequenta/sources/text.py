@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prequenta.functions.cells import DELIMITER
 from prequenta.model import N_FEATURES
-from prequenta.operators.parse import drop_header, parse_labelled
+from prequenta.operators.parse import parse_labelled
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,4 +42,4 @@ def read_labelled_csv(
 ) -> DataFrame:
     """Parse a headed file, or a folder of them, to labelled points."""
     head = header if header is not None else DELIMITER.join(read_header(spark, path))
-    return parse_labelled(drop_header(read_lines(spark, path), head), n_features=n_features, mode=mode)
+    return parse_labelled(read_lines(spark, path), n_features=n_features, mode=mode, header=head)

@@ -105,7 +105,13 @@ class TestThenTrain:
         """The models as the batches before ``batch_id`` left them."""
         if self._cached is not None and self._cached[0] < batch_id:
             return self._cached[1]
-        # Only reached on a (re)start. Batches that had no rows leave no version behind.
+        # Reached once after a (re)start: what is found stays valid until this stream learns.
+        found = self._stored_before(spark, batch_id) or self.initial
+        self._cached = (batch_id - 1, found)
+        return found
+
+    def _stored_before(self, spark: SparkSession, batch_id: int) -> dict[str, Model]:
+        # Batches that had no rows leave no version behind.
         for era in range(count_table.era_of(batch_id), -1, -1):
             try:
                 found = load_models(spark, self._era_folder(era), before=batch_id)
@@ -115,7 +121,7 @@ class TestThenTrain:
                 continue
             if found:
                 return found
-        return self.initial
+        return {}
 
     def __call__(self, lines: DataFrame, batch_id: int) -> None:
         spark = lines.sparkSession

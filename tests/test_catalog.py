@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import glob
 import json
 import math
 import re
@@ -121,3 +122,16 @@ def test_saved_width_must_match_the_stream(spark, tmp_path):
     q.save_models(spark, [q.Model.of("pretrained", [1, 2])], f"{tmp_path}/m")
     with pytest.raises(ValueError, match="2 features"):
         online.warm_and_cold(spark, f"{tmp_path}/m")
+
+
+def test_no_arbitrary_model_is_taken(spark, tmp_path):
+    q.save_models(spark, [q.Model.of("a", [1, 2]), q.Model.of("b", [3, 4])], f"{tmp_path}/m")
+    with pytest.raises(ValueError, match="not just one"):
+        online.warm_and_cold(spark, f"{tmp_path}/m", 2)
+
+
+def test_streams_leave_no_lines_behind(spark, sf_dir):
+    counts = catalog.query_stream_confusion(spark, sf_dir)
+    assert counts.select("batch_id").distinct().count() == catalog.BATCHES
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert glob.glob(f"{shared}/prequenta/lines-*") == []

@@ -85,3 +85,13 @@ def test_document_is_ordered(spark):
     counts = counts_of(spark, [("cold", 1, 1, 1), ("cold", 1, 0, 2), ("pretrained", 1, 1, 1)])
     document = json.loads(q.accuracy_json(counts).first()["json"])
     assert document == {"output": [{"type": "ACC pretrained", "value": 1.0}, {"type": "ACC", "value": 1 / 3}]}
+
+
+def test_every_model_in_the_counts_is_reported(spark):
+    rows = [("pretrained", 1, 1, 3), ("other", 0, 1, 1), ("other", 0, 0, 3), ("Another", 1, 1, 2)]
+    counts = spark.createDataFrame(rows, "model string, predicted int, actual int, n bigint")
+    want = [("ACC pretrained", 1.0), ("ACC", None), ("Another", 1.0), ("other", 0.75)]
+    assert [tuple(r) for r in q.accuracy(counts).collect()] == want
+    document = json.loads(q.accuracy_json(counts).first()["json"])
+    assert [(r["type"], r["value"]) for r in document["output"]] == want
+    assert [tuple(r) for r in q.accuracy(counts, ["other"]).collect()] == [("other", 0.75)]

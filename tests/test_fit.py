@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 import prequenta as q
+from prequenta.operators import fit as fit_module
 from prequenta.operators.fit import SgdSettings
 from replica import as_lines, descend, sample
 
@@ -83,3 +84,33 @@ def test_saved_models(spark, tmp_path):
     assert q.load_models(spark, path, before=1)["pretrained"] == first[0]
     assert q.save_models(spark, [newer.at_version(9)], path, version=1) == 1
     assert q.load_models(spark, path)["pretrained"].version == 1
+
+
+def test_points_stay_held_until_the_last_model_is_done(spark, data, monkeypatch):
+    """The warm model stops after a few steps; the cold one still reads the held points."""
+    held, over = [], []
+    sampled = fit_module.Model
+
+    def done(name, weights, *rest, **more):
+        over.append(name)
+        held.append(spark.sparkContext._jsc.sc().getPersistentRDDs().size())
+        return sampled(name, weights, *rest, **more)
+
+    monkeypatch.setattr(fit_module, "Model", done)
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    quick = q.Model.of("warm", [0.25, 1.0, -0.5])
+    q.sgd_fit(data[0], [quick, q.cold_model(n_features=3)], SgdSettings(60, 1.0, 0.0, tol=0.2))
+    assert set(over) == {"warm", "cold"} and held == [before + 1] * 2
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_repeated_names_are_an_error(data):
+    with pytest.raises(ValueError, match="repeat"):
+        q.sgd_fit(data[0], [q.cold_model(n_features=3)] * 2)
+
+
+@pytest.mark.parametrize("row", [(None, [1.0, 2.0, 3.0]), (1, [1.0, None, 3.0]), (1, None)])
+def test_incomplete_points_are_an_error(spark, row):
+    points = spark.createDataFrame([row, (0, [1.0, 0.0, 1.0])], "label int, features array<double>")
+    with pytest.raises(Exception):
+        q.sgd_fit(points, [q.cold_model(n_features=3)])

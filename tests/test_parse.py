@@ -125,3 +125,11 @@ def test_null_lines_are_kept_and_rejected(spark, lines, ansi):
             q.parse_labelled(frame, n_features=1).collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_header_cannot_fail_a_filter_that_uses_the_features_twice(spark, tmp_path):
+    path = f"{tmp_path}/headed"
+    spark.createDataFrame([("a,b,label\n1,2,1\n3,4,-1",)], "value string").coalesce(1).write.text(path)
+    points = q.read_labelled_csv(spark, path, n_features=2)
+    kept = points.where("features[0] * features[1] > 1 AND features[0] + features[1] < 100")
+    assert sorted(r["label"] for r in kept.collect()) == [0, 1]

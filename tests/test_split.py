@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 import prequenta as q
-from prequenta.functions.hashing import BUCKETS, MODULUS, MULTIPLIER, key_bucket
+from prequenta.functions.hashing import MODULUS, MULTIPLIERS, key_bucket, share_limit
 from pyspark.sql import functions as F
 
 
@@ -44,8 +44,22 @@ def test_bucket_arithmetic(spark):
     got = [r[0] for r in df.select(key_bucket([F.col("a"), F.col("b")], seed=5)).collect()]
     want = []
     for row in keys:
-        state = 5
-        for key in row:
-            state = (state + key % MODULUS) % MODULUS * MULTIPLIER % MODULUS
-        want.append(state % BUCKETS)
+        states = []
+        for multiplier in MULTIPLIERS:
+            state = 5
+            for key in row:
+                state = (state + key % MODULUS) % MODULUS * multiplier % MODULUS
+            states.append(state)
+        want.append(states[0] * MODULUS + states[1])
     assert got == want
+
+
+def test_a_share_has_no_smallest_value():
+    assert share_limit(0.0) == 0 and share_limit(1.0) == MODULUS**2
+    assert 0 < share_limit(1e-15) < share_limit(2e-15) and share_limit(0.5) == MODULUS**2 // 2
+
+
+@pytest.mark.parametrize("fraction", [1e-3, 1e-4])
+def test_small_shares_are_kept(spark, fraction):
+    chosen = q.hash_split(spark.range(200_000), ["id"], fraction)[0].count()
+    assert 0.3 < chosen / (200_000 * fraction) < 2

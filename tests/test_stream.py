@@ -7,6 +7,7 @@ import pytest
 import prequenta as q
 from prequenta.sources.text import stream_lines
 from prequenta.sources.topic import message_lines
+from prequenta.streaming import prequential
 from prequenta.streaming.prequential import TestThenTrain
 from replica import as_lines, counts, descend, sample
 
@@ -186,3 +187,14 @@ def test_processing_time_trigger(spark, tmp_path, incoming, batches):
 def test_message_body_becomes_the_line(spark):
     messages = spark.createDataFrame([(b"k", b"1,2,1"), (None, "é,1".encode())], "key binary, value binary")
     assert [r["value"] for r in message_lines(messages).collect()] == ["1,2,1", "é,1"]
+
+
+def test_stored_models_are_looked_up_once_without_training(tmp_path, lines, monkeypatch):
+    calls = []
+    monkeypatch.setattr(prequential, "load_models", lambda *a, **k: calls.append(a) or {})
+    work = TestThenTrain(
+        prequential.Run(f"{tmp_path}/run"), [q.cold_model(n_features=3)], train=False, n_features=3
+    )
+    for batch in (5000, 5001, 5002):
+        work(lines("1,0,1,1"), batch)
+    assert len(calls) == 6  # one per era, once
