@@ -9,10 +9,12 @@ Texts that agree in a band are candidates, verified by alignment. Shingles are o
 the band of diagonals that the threshold allows; the similarity is aligned / (n1 + n2 - aligned)
 and must reach ``THRESHOLD``. Classes are the connected components of the verified links.
 
-Work per bucket of a band is linear in its texts, and no pairs are formed: the texts of a bucket are
-compared with its hub, the text that shares most places with others. Those that do not end up in
-the hub's class form a bucket of their own with the next hub, and so on until a round finds no link.
-Texts are only compared while they are in different classes.
+Two steps find the links. First the texts of a bucket of a band are aligned with its hub, the text
+that shares most places with others, which joins most copies at a cost linear in the bucket. Then
+all texts of a bucket that are still in different classes are compared, block against block, by a
+parity sketch of their shingles: differing bits never outnumber differing shingles, so a pair that
+the sketch rejects cannot reach the threshold, and only the few others become rows and are aligned.
+Every candidate is thus aligned, proven too different, or in one class already: no link is lost.
 
 Equal texts (same words, any case and spacing) are one node throughout. With 32 bands a pair at the
 threshold is missed with a chance of about 3e-6, one at 0.85 with 1e-8.
@@ -46,6 +48,8 @@ SHORT_BANDS = 24
 SHORT_UPTO = 15  # ... and so are those that may be similar to them
 MEMO_WORDS = 200_000
 SLICE = 128  # texts that are split into words at a time
+PARITY_BITS = 2048
+BLOCK = 256  # texts of a bucket that are compared with as many others at a time
 
 _R = np.random.default_rng(20)
 _MULTIPLY = _R.integers(1, 2**63, BANDS + SHORT_BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,6 +111,17 @@ def signatures(labelled: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def parity(labelled: np.ndarray) -> bytes:
+    """Number of shingles, then for each of ``PARITY_BITS`` bins whether it holds an odd number of them."""
+    bins = np.bincount((labelled % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.int64(len(labelled)).tobytes() + np.packbits(bins.astype(np.uint8)).tobytes()
+
+
+def needed_of(n: np.ndarray | int, threshold: float) -> np.ndarray:
+    """Aligned shingles that two texts of n together must have."""
+    return np.ceil(threshold * n / (1 + threshold) - 1e-9).astype(np.int64)
+
+
 def _ordered(picked: np.ndarray, band: np.ndarray) -> np.ndarray:
     value = band.astype(np.uint64) * _C1
     for column in picked.T:
@@ -117,7 +132,7 @@ def _ordered(picked: np.ndarray, band: np.ndarray) -> np.ndarray:
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[bool, int]:
     """(similar, insertions and deletions of the best alignment); within the band first, in full if that fails."""
     n = len(a) + len(b)
-    needed = int(np.ceil(threshold * n / (1 + threshold) - 1e-9))
+    needed = int(needed_of(np.float64(n), threshold))
     short = min(len(a), len(b))
     differ = np.flatnonzero(a[:short] != b[:short])
     head = int(differ[0]) if len(differ) else short
@@ -162,8 +177,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([_digest(w) for w in words], pa.binary()),
                     pa.array(list(map(len, found)), pa.int64()),
                     pa.array([signatures(f).view(np.int64) for f in found], pa.list_(pa.int64())),
+                    pa.array(list(map(parity, found)), pa.binary()),
                 ],
-                ["doc_id", "node", "size", "bands"],
+                ["doc_id", "node", "size", "bands", "parity"],
             )
 
 
@@ -222,6 +238,72 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+_PACKED = np.dtype([("node", "u1", 16), ("label", "u1", 16), ("size", "<i8"), ("parity", "<u8", PARITY_BITS // 64)])
+
+
+def _near(threshold: float):
+    """Pairs of two blocks, in different classes, that their sketches do not rule out."""
+
+    def found(x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[bytes, bytes]]:
+        label_x, label_y = (v["label"].copy().view("<u8").reshape(-1, 2) for v in (x, y))
+        for start in range(0, len(x), 32):
+            part = slice(start, start + 32)
+            total = x["size"][part, None] + y["size"][None]
+            needed = needed_of(total, threshold)
+            ok = (label_x[part, None] != label_y[None]).any(-1) & (np.minimum(x["size"][part, None], y["size"][None]) >= needed)
+            if same:
+                ok &= np.arange(start, start + len(ok))[:, None] < np.arange(len(y))[None]
+            i, j = np.nonzero(ok)
+            for at in range(0, len(i), 8192):
+                k, m = i[at : at + 8192], j[at : at + 8192]
+                differ = np.bitwise_count(x["parity"][part][k] ^ y["parity"][m]).sum(1, dtype=np.int64)
+                left = total[k, m] - differ >= 2 * needed[k, m]
+                for a, b in zip(k[left].tolist(), m[left].tolist(), strict=True):
+                    one, two = x["node"][start + a].tobytes(), y["node"][b].tobytes()
+                    yield (one, two) if one < two else (two, one)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = (np.frombuffer(b"".join(batch.column(c)[row].as_py()), _PACKED) for c in (0, 1))
+                pairs = list(found(x, y, batch.column(2)[row].as_py()))
+                a, b = zip(*pairs, strict=True) if pairs else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _remaining(members: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: candidates in different classes that may reach the threshold.
+
+    Large classes fill blocks of their own, which are not compared with each other. A bucket of many
+    blocks is dealt to many tasks.
+    """
+    label = F.coalesce("label", "node")
+    placed = written(members.join(labels, "node", "left").select("bucket", "node", "crowd", label.alias("label")), "neardup-placed")
+    counts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = placed.join(counts, ["bucket", "label"]).where("n < crowd")
+    large = F.col("n") > BLOCK
+    block = F.when(large, F.xxhash64("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))).otherwise(
+        F.pmod(F.xxhash64("label"), F.ceil(F.col("crowd") / BLOCK))
+    )
+    blocks = (
+        mixed.select("bucket", "node", "label", "crowd", block.alias("block"), F.when(large, F.col("label")).alias("pure"))
+        .join(nodes.select("node", "parity"), "node")
+        .groupBy("bucket", "block")
+        .agg(F.first("pure").alias("pure"), F.max("crowd").alias("crowd"), F.collect_list(F.concat("node", "label", "parity")).alias("texts"))
+    )
+    blocks = written(blocks.withColumn("salts", F.ceil(F.col("crowd") / (8 * BLOCK))), "neardup-blocks")
+    x = blocks.select("bucket", F.pmod(F.xxhash64("block"), "salts").alias("salt"), *[F.col(c).alias(f"x_{c}") for c in ("block", "pure", "texts")])
+    y = blocks.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"y_{c}") for c in ("block", "pure", "texts")])
+    both = x.join(y, ["bucket", "salt"]).where("x_block <= y_block AND (x_pure != y_pure OR x_pure IS NULL OR y_pure IS NULL)")
+    pairs = both.select("x_texts", "y_texts", F.expr("x_block = y_block")).mapInArrow(_near(threshold), "a binary, b binary")
+    pairs = written(pairs.distinct(), "neardup-remaining")
+    drop_written(blocks)
+    drop_written(placed)
+    return pairs
+
+
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose nodes are not in one component."""
     of_a, of_b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
@@ -232,32 +314,33 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size): one row per row of docs with an id; a class is named by its smallest id."""
     docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    rows = written(docs.mapInArrow(_sketches, docs.select("doc_id", F.lit(None).cast("binary").alias("node"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("array<bigint>").alias("bands")).schema), "neardup-sketches")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")), "neardup-nodes")
+    sketch = "node binary, size long, bands array<bigint>, parity binary"
+    rows = written(docs.mapInArrow(_sketches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {sketch}"), "neardup-sketches")
+    first = [F.first(c).alias(c) for c in ("size", "bands", "parity")]
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *first), "neardup-nodes")
     places = nodes.select("node", F.explode("bands").alias("bucket"))
     crowds = places.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
     members = written(places.join(crowds, "bucket"), "neardup-members")
     degrees = members.groupBy("node").agg(F.sum("crowd").alias("degree"))
-    members = written(members.select("bucket", "node").join(degrees, "node"), "neardup-buckets")
+    hubs = members.join(degrees, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    spokes = written(members.join(hubs, "bucket").where("node != hub.node").select("bucket", "node", "hub"), "neardup-spokes")
     ids = nodes.select("node", "doc_id")
 
-    tested, labels, fresh = None, None, True
-    while fresh:
-        hubs = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub")).select("bucket", "hub")
-        spokes = written(members.join(hubs, "bucket").where("node != hub.node"), "neardup-spokes")
-        if tested is None:  # at first each text only meets the greatest of its hubs
-            pairs = spokes.groupBy(F.col("node").alias("a")).agg(F.max("hub").alias("hub")).select("a", F.col("hub.node").alias("b"))
-            tested = _verified(pairs, ids, docs, threshold)
-            labels = components(tested.where("same"))
-        pairs = spokes.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), "bucket")
-        untested = _across(pairs, labels).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        result = _verified(written(untested, "neardup-pairs"), ids, docs, threshold)
-        tested = tested.unionByName(result)
-        fresh = not result.where("same").isEmpty()
-        if fresh:
-            labels = components(tested.where("same"))
-            apart = _across(pairs, labels).select(F.col("a").alias("node"), "bucket")
-            members = written(members.join(apart, ["node", "bucket"], "left_semi"), "neardup-buckets")
+    # At first each text only meets the greatest of its hubs, then those of other classes.
+    pairs = spokes.groupBy(F.col("node").alias("a")).agg(F.max("hub").alias("hub")).select("a", F.col("hub.node").alias("b"))
+    tested = _verified(pairs, ids, docs, threshold)
+    labels = components(tested.where("same"))
+    pairs = spokes.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    untested = _across(pairs, labels).join(tested, ["a", "b"], "left_anti")
+    tested = tested.unionByName(_verified(written(untested, "neardup-pairs"), ids, docs, threshold))
+    labels = components(tested.where("same"))
+    drop_written(spokes)
+
+    # All other candidates of different classes.
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    untested = written(_remaining(members, nodes, labels, threshold).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
+    tested = tested.unionByName(_verified(untested, ids, docs, threshold))
+    labels = components(tested.where("same"))
 
     labelled = nodes.select("node", "doc_id", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
