@@ -85,6 +85,41 @@ def test_alignment_follows_the_order():
     assert neardup.aligned(a, moved) == (False, 100)
 
 
+def test_parity_never_rejects_a_similar_pair():
+    rng = np.random.default_rng(9)
+    for n in (1, 7, 60, 900, 6000):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = a[rng.random(n) > rng.random() / 5]
+        x, y = (np.unpackbits(np.frombuffer(neardup.parity(v)[8:], np.uint8)) for v in (a, b))
+        assert (x != y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_links_beside_the_hub_are_kept(spark):
+    """Many variants around one text, each a little too far from it, some near each other."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(words, cuts, at):
+        return [f"{w}x{at}" if i in cuts else w for i, w in enumerate(words)]
+
+    texts = [base]
+    for group in range(12):
+        first = changed(base, set(rng.choice(200, 6, replace=False).tolist()), group)
+        texts += [first, changed(first, {int(rng.integers(200))}, f"y{group}")]
+    docs = {i: " ".join(t) for i, t in enumerate(texts)}
+    memo = neardup.Words()
+    sequence = {i: neardup.shingles(t, memo) for i, t in enumerate(texts)}
+    root = list(docs)
+    for a in docs:
+        for b in range(a):
+            if neardup.aligned(sequence[a], sequence[b])[0]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = neardup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == dict(enumerate(root))
+    assert len(set(root)) > 3
+
+
 def test_toxicity(spark, sf_dir):
     rows = toxicity.op3_toxicity(spark, sf_dir).collect()
     labels = {r["doc_id"]: r["toxic"] for r in table(spark, sf_dir, "labels").collect()}
