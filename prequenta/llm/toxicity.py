@@ -5,12 +5,13 @@
    surroundings, so that the words of one document with many copies do not count.
 2. Voters: the terms are dealt to ``N_LEXICONS`` lexicon voters; a fixed lexicon and pattern voters
    (density, variety, insult beside second person, insult in a shouted word) join them.
-3. Label model: votes are counted per pattern in Spark. EM on those counts estimates how often each
+3. Label model: votes of all documents outside the held-out fold are counted per pattern in Spark. EM on those counts estimates how often each
    voter fires on either class; the strongest dependencies between voters given the class form a
    tree (maximum spanning tree by conditional mutual information), and EM runs again with every
    voter depending on the class and on its parent. This gives P(toxic | votes).
 4. Classifier: logistic regression on hashed words, stems and votes, fitted to the posterior labels
-   of at most ``TRAINING_ROWS`` documents outside the held-out fold. It scores every whole text.
+   of at most ``TRAINING_ROWS`` documents outside the held-out fold, and if all of these are of one
+   class, of as many of the other class. It scores every whole text.
 
 What is collected to the driver is bounded by parameters: terms, 2**voters patterns, weights.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,12 +75,9 @@ def _document_terms(words: list[str]) -> set[str]:
     return {*words, *[f"{t}{n}" for t, count in stems.items() for n in LEVELS if count >= n]}
 
 
-def _sampled(frame: DataFrame, bound: int, key: str = "doc_id") -> DataFrame:
-    """About ``bound`` rows by a hash of the key, all of them if there are fewer."""
-    n = frame.count()
-    if n <= bound:
-        return frame
-    return frame.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+def _chosen(n: int, bound: int, key: str = "doc_id") -> Column:
+    """Whether a row is among about ``bound`` of ``n`` rows by a hash of the key, all of them if there are fewer."""
+    return F.lit(True) if n <= bound else F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * bound / n)
 
 
 def learn_terms(sample: DataFrame) -> list[str]:
@@ -146,6 +144,16 @@ def learn_terms(sample: DataFrame) -> list[str]:
     return kept[:MAX_TERMS]
 
 
+class Hashed(dict):
+    """Lower-case word -> its hashed features."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = hashed = tuple({xxhash.xxh32_intdigest(t) % N_HASHED for t in _terms_of(word)})
+        return hashed
+
+
 class Voters:
     """Votes and features of one text."""
 
@@ -153,35 +161,27 @@ class Voters:
         self.terms = terms
         self.lexicon = {t: i % N_LEXICONS for i, t in enumerate(terms)}
         self.stems = {t.partition("*")[0] + "*" for t in terms if "*" in t}
-        self.memo: dict[str, tuple[tuple[int, ...], tuple[str, ...], bool]] = {}
-
-    def word(self, word: str) -> tuple[tuple[int, ...], tuple[str, ...], bool]:
-        """(hashed features, stems to count, insult or term by itself) of a lower-case word."""
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            terms = _terms_of(word)
-            hashed = tuple({xxhash.xxh32_intdigest(t) % N_HASHED for t in terms})
-            got = self.memo[word] = (hashed, tuple(t for t in terms[1:] if t in self.stems), word in INSULTS or word in self.lexicon)
-        return got
-
-    def read(self, text: str) -> tuple[int, set[int]]:
-        """(votes as bits, active features)."""
-        words = WORD.findall(text.lower())
-        features: set[int] = set()
-        stems: Counter[str] = Counter()
+        self.hashed = Hashed()
+        self.plain: set[str] = set()  # words met that no voter looks at
+
+    def votes(self, text: str, words: list[str], kinds: set[str]) -> int:
+        """Votes as bits; words are those of the text in lower case, kinds the different ones."""
         known: dict[str, list[str]] = {}
-        counts = Counter(words)
-        for word, n in counts.items():
-            hashed, counted, alone = self.word(word)
-            features.update(hashed)
-            for stem in counted:
-                stems[stem] += n
-            if alone or counted:
+        for word in kinds - self.plain:
+            counted = [t for t in _terms_of(word)[1:] if t in self.stems]
+            if counted or word in INSULTS or word in self.lexicon:
                 known[word] = [word, *counted]
+            else:
+                if len(self.plain) >= MEMO_WORDS:
+                    self.plain.clear()
+                self.plain.add(word)
         votes, fixed = 0, N_LEXICONS
         if known:
+            counts = Counter(w for w in words if w in known)
+            stems: Counter[str] = Counter()
+            for word, names in known.items():
+                for stem in names[1:]:
+                    stems[stem] += counts[word]
             met = {t for t in known if t in self.lexicon}
             met.update(t for stem, n in stems.items() for level in LEVELS if n >= level and (t := f"{stem}{level}") in self.lexicon)
             roots = {t.partition("*")[0] + "*" * ("*" in t) for t in met} | INSULTS
@@ -194,6 +194,16 @@ class Voters:
             pattern = (not INSULTS.isdisjoint(known), hits >= 2 + len(words) // 500, len(known) >= 2, beside, shouted)
             for j, fires in enumerate(pattern):
                 votes |= fires << (fixed + j)
+        return votes
+
+    def read(self, text: str, wanted: bool = True) -> tuple[int, set[int] | None]:
+        """(votes as bits, active features if wanted)."""
+        words = WORD.findall(text.lower())
+        kinds = set(words)
+        votes = self.votes(text, words, kinds)
+        if not wanted:
+            return votes, None
+        features = set().union(*map(self.hashed.__getitem__, kinds))
         features.update(N_HASHED + j for j in range(len(VOTERS)) if votes >> j & 1)
         return votes, features
 
@@ -295,35 +305,57 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         .agg(F.least(F.max("toxic"), F.lit(1)).alias("toxic"))
         .where(bucket_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     )
-    known = _sampled(known, LABELLED_ROWS)
+    known = known.where(_chosen(known.count(), LABELLED_ROWS))
     body = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     sample = written(body.join(F.broadcast(known), "doc_id").select("text", "toxic"), "toxic-sample")
     rate = sample.agg(F.avg("toxic")).first()[0]
     voters = Voters(learn_terms(sample))
     shared = spark.sparkContext.broadcast(voters)
 
-    training = _sampled(body.where(bucket_of(F.col("doc_id"), FOLDS) != HELD_OUT), TRAINING_ROWS)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [shared.value.read(t) for t in batch.column(0).to_pylist()]
-            features = pa.array([sorted(g[1]) for g in got], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), features], ["votes", "active"])
-
-    rows = written(training.select("text").mapInArrow(read, "votes long, active array<int>"), "toxic-training")
-    counts = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    learnt = body.where(bucket_of(F.col("doc_id"), FOLDS) != HELD_OUT)
+    total = learnt.count()
+
+    def reader(patterns: frozenset[int] | None = None):
+        """Reads (text, chosen): the votes, and the features of chosen rows with one of these patterns (None: any)."""
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                votes, active = [], []
+                for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    got = shared.value.read(text, chosen and patterns is None)
+                    if chosen and patterns is not None and got[0] in patterns:
+                        got = shared.value.read(text)
+                    votes.append(got[0])
+                    active.append(None if got[1] is None else sorted(got[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(votes, pa.int64()), pa.array(active, pa.list_(pa.int32()))], ["votes", "active"])
+
+        return read
+
+    # One pass over all documents: every row has its votes, those of the sample their features too.
+    kind = "votes long, active array<int>"
+    rows = written(learnt.select("text", _chosen(total, TRAINING_ROWS).alias("chosen")).mapInArrow(reader(), kind), "toxic-training")
+    counted = rows.groupBy("votes").agg(F.count("*").alias("n"), F.count("active").alias("sampled")).collect()
+    counts = {r["votes"]: r["n"] for r in counted}
     posterior = label_model(counts, len(VOTERS), 0.1 if rate is None else float(rate))
     none = np.zeros(N_HASHED + len(VOTERS))
     if len({p >= 0.5 for p in posterior.values()}) < 2:
         none[N_HASHED:] = 2.0
         return Model(voters.terms, none, -3.0)
     size = N_HASHED + len(VOTERS)
+    rows = rows.where("active IS NOT NULL").withColumn("rows", F.lit(max(1.0, total / TRAINING_ROWS)))
+    missing = {True, False} - {posterior[r["votes"]] >= 0.5 for r in counted if r["sampled"]}
+    if missing:  # a class too rare for the sample, which alone would teach nothing
+        rare = {k: n for k, n in counts.items() if (posterior[k] >= 0.5) in missing}
+        n = sum(rare.values())
+        more = learnt.select("text", _chosen(n, TRAINING_ROWS).alias("chosen")).mapInArrow(reader(frozenset(rare)), kind)
+        more = written(more.where("active IS NOT NULL"), "toxic-rare")
+        rows = rows.unionByName(more.withColumn("rows", F.lit(max(1.0, n / TRAINING_ROWS))))
     vector = F.udf(lambda active: SparseVector(size, active, [1.0] * len(active)), VectorUDT())
     pairs = spark.createDataFrame([(k, p) for k, p in posterior.items()], "votes long, p double")
     # A soft label is the two hard ones, weighted.
     both = rows.join(F.broadcast(pairs), "votes").select(
-        "active", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("x")
-    ).where("x.weight > 0.02").select(vector("active").alias("features"), "x.label", "x.weight")
+        "active", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("x"), "rows"
+    ).where("x.weight > 0.02").select(vector("active").alias("features"), "x.label", (F.col("x.weight") * F.col("rows")).alias("weight"))
     fitted = LogisticRegression(maxIter=40, regParam=3e-4, standardization=False, weightCol="weight").fit(both)
     return Model(voters.terms, fitted.coefficients.toArray(), float(fitted.intercept))
 

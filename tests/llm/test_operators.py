@@ -139,6 +139,21 @@ def test_label_model_weighs_dependent_voters():
     assert p[0] < 0.05 and p[0b0011] > 0.8 and p[0b1111] > 0.95
 
 
+def test_label_model_sees_all_documents(spark, monkeypatch):
+    """Far more documents than training rows, and a class that the training rows miss."""
+    seen = []
+    monkeypatch.setattr(toxicity, "TRAINING_ROWS", 40)
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, *a, f=toxicity.label_model: (seen.append(dict(votes)), f(votes, *a))[1])
+    insulting = {7 * i for i in range(1, 31)}
+    rows = [(i, f"you idiot and moron number {i}, a WORTHLESS loser" if i in insulting else f"a plain note on day {i} of the year") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    learnt = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert sum(seen[0].values()) == len(learnt) and seen[0][0] == len(set(learnt) - insulting)
+    got = {r["doc_id"] for r in toxicity.score(docs, model).where("predicted = 1").collect()}
+    assert got == insulting
+
+
 @pytest.mark.parametrize("hot", [2, 10_000])
 def test_repeated_strings_equal_brute_force(spark, sf_dir, docs, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT_KINDS", hot)
