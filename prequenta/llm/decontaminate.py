@@ -4,12 +4,17 @@ Texts are reduced to templates: words in lower case, numbers, names (capitalised
 open a sentence, runs of them as one) and units behind a number replaced by typed placeholders.
 Windows of ``WINDOW`` template tokens of all benchmark items (a whole item if it is shorter) are
 hashed; a bitmap of fixed maximal size picks the windows of the documents that may be among them,
-and a hash join with the benchmark's windows decides. A (document, item) pair is reported if
+and a hash join with the benchmark's windows decides. All occurrences in a document count, with their
+places. From every place where the item may begin, its windows are matched with the nearest
+occurrences, within several distances (none, one window, the item's length, the whole document). A
+(document, item) pair is reported if in one of these alignments
 
-* at least ``MIN_COVERAGE`` of the item's different windows are in the document, and
-* its slots are filled consistently: where the item has one value, the document has one value
+* at least ``MIN_COVERAGE`` of the item's different windows are met, and
+* the slots are filled consistently: where the item has one value, the document has one value
   throughout (``MIN_CONSISTENCY`` of the slot occurrences agree with the commonest filling).
 
+The figures are those of the alignment with most windows, and then the highest consistency.
+
 So a question with other numbers or names is found, and texts that merely share a form are not.
 Windows with less than ``MIN_LITERALS`` words are too general to count.
 
@@ -21,6 +26,8 @@ other columns are ignored (and pass through ``decontaminated``).
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,11 +131,54 @@ def _slots(code: np.ndarray, at: np.ndarray, tokens: list[str], i: int, size: in
     return out
 
 
-WINDOWS = "id long, hash long, slots array<string>"
+LEAKS = "doc_id long, item_id long, n_windows long, n_matched long, coverage double, consistency double"
+WINDOWS = "id long, hash long, place int, slots array<string>"
+
+
+def alignment(
+    asked: list[tuple[int, int, list[str]]], met: list[tuple[int, int, list[str]]], min_coverage: float, min_consistency: float
+) -> tuple[int, float] | None:
+    """(different windows met, consistency) of the best alignment of an item's windows with a document's; None if none will do.
+
+    Both lists have (hash, place, slots).
+    """
+    places: dict[int, dict[int, list[str]]] = defaultdict(dict)
+    for value, place, slots in met:
+        places[value][place] = slots
+    order = {value: sorted(found) for value, found in places.items()}
+    wanted = [(value, at, slots) for value, at, slots in asked if value in places]
+    least = min_coverage * len({value for value, _, _ in asked})
+    length = max(at for _, at, _ in asked) + WINDOW
+    best = None
+    done = set()
+    for start in sorted({place - at for value, at, _ in wanted for place in order[value]}):
+        near = []
+        for value, at, slots in wanted:
+            found = order[value]
+            i = bisect_left(found, start + at)
+            place = min(found[max(0, i - 1) : i + 1], key=lambda p: (abs(p - start - at), p))
+            near.append((abs(place - start - at), value, place, slots, places[value][place]))
+        for reach in (0, WINDOW, length, None):
+            used = [x for x in near if reach is None or x[0] <= reach]
+            n = len({x[1] for x in used})
+            key = tuple(x[2] if reach is None or x[0] <= reach else -1 for x in near)
+            if n < least or key in done or (best and (n, 1.0) <= best):
+                continue
+            done.add(key)
+            fillings: dict[str, Counter[str]] = defaultdict(Counter)
+            for _, _, _, mine, theirs in used:
+                if len(mine) == len(theirs):
+                    for a, g in zip(mine, theirs, strict=True):
+                        fillings[a][g] += 1
+            total = sum(c.total() for c in fillings.values())
+            consistency = sum(max(c.values()) for c in fillings.values()) / total if total else 1.0
+            if consistency >= min_consistency and (best is None or (n, consistency) > best):
+                best = (n, consistency)
+    return best
 
 
 def _items(items: DataFrame, window: int) -> DataFrame:
-    """(item, size, hash, slots) of the different windows of each item."""
+    """(item, size, hash, place, slots) of the windows of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Tokens()
@@ -141,19 +191,20 @@ def _items(items: DataFrame, window: int) -> DataFrame:
                     continue
                 for i, (value, words) in enumerate(zip(*hashes(code, size), strict=True)):
                     if words >= MIN_LITERALS:
-                        rows.append((item, size, value, _slots(code, at, tokens, i, size)))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
+                        rows.append((item, size, value, i, _slots(code, at, tokens, i, size)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(columns[0], pa.int64()),
                     pa.array(columns[1], pa.int32()),
                     pa.array(np.array(columns[2], np.uint64).view(np.int64)),
-                    pa.array(columns[3], pa.list_(pa.string())),
+                    pa.array(columns[3], pa.int32()),
+                    pa.array(columns[4], pa.list_(pa.string())),
                 ],
-                ["item", "size", "hash", "slots"],
+                ["item", "size", "hash", "place", "slots"],
             )
 
-    return items.mapInArrow(run, "item long, size int, hash long, slots array<string>")
+    return items.mapInArrow(run, "item long, size int, hash long, place int, slots array<string>")
 
 
 def _bitmap(windows: DataFrame) -> tuple[np.ndarray, int]:
@@ -195,57 +246,50 @@ def leaks(
             for start in range(0, batch.num_rows, 128):
                 ids = batch.column(0).slice(start, 128).to_pylist()
                 code, at, tokens, owner = templates(batch.column(1).slice(start, 128).to_pylist(), memo)
-                rows: dict[tuple[int, int], list[list[str]]] = {}
+                rows: list[tuple[int, int, int, list[str]]] = []
+                first = np.searchsorted(owner, np.arange(len(ids)))
                 for size in sizes:
                     value, words = hashes(code, size)
                     bit = (value >> shift).astype(np.int64)
                     hit = (map_[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
                     for i in np.flatnonzero((hit > 0) & (words >= MIN_LITERALS)):
-                        rows.setdefault((int(owner[i]), int(value[i])), []).append(_slots(code, at, tokens, i, size))
-                keys = list(rows)
+                        rows.append((ids[owner[i]], int(value[i]), int(i - first[owner[i]]), _slots(code, at, tokens, i, size)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([ids[k[0]] for k in keys], pa.int64()),
-                        pa.array(np.array([k[1] for k in keys], np.uint64).view(np.int64)),
-                        pa.array([min(rows[k]) for k in keys], pa.list_(pa.string())),
+                        pa.array([r[0] for r in rows], pa.int64()),
+                        pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)),
+                        pa.array([r[2] for r in rows], pa.int32()),
+                        pa.array([r[3] for r in rows], pa.list_(pa.string())),
                     ],
-                    ["id", "hash", "slots"],
+                    ["id", "hash", "place", "slots"],
                 )
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col(text)).where("doc_id IS NOT NULL")
     found = written(texts.mapInArrow(search, WINDOWS), "leaks-found")
-    different = windows.groupBy("item", "hash").agg(F.min("slots").alias("item_slots"))
     total = windows.groupBy("item").agg(F.countDistinct("hash").alias("n_windows"))
-    met = found.join(different, "hash").select("id", "item", "hash", "slots", "item_slots").dropDuplicates(["id", "item", "hash"])
+    # Repeated rows of an id count as one document.
+    met = found.join(windows.select("item", "hash").distinct(), "hash").select("id", "item", "hash", "place", "slots").distinct()
     covered = (
         met.groupBy("id", "item")
-        .agg(F.count("*").alias("n_matched"))
+        .agg(F.countDistinct("hash").alias("n"), F.collect_list(F.struct("hash", "place", "slots")).alias("met"))
         .join(total, "item")
-        .where(F.col("n_matched") >= min_coverage * F.col("n_windows"))
-    )
-    filled = (
-        met.where("size(slots) > 0 AND size(slots) = size(item_slots)")
-        .select("id", "item", F.explode(F.arrays_zip(F.col("item_slots").alias("asked"), F.col("slots").alias("given"))).alias("s"))
-        .groupBy("id", "item", "s.asked", "s.given")
-        .agg(F.count("*").alias("n"))
-        .groupBy("id", "item", "asked")
-        .agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-        .groupBy("id", "item")
-        .agg((F.sum("most") / F.sum("n")).alias("consistency"))
-    )
-    return (
-        covered.join(filled, ["id", "item"], "left")
-        .withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-        .where(F.col("consistency") >= min_consistency)
-        .select(
-            F.col("id").alias("doc_id"),
-            F.col("item").alias("item_id"),
-            "n_windows",
-            "n_matched",
-            (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
-            "consistency",
-        )
+        .where(F.col("n") >= min_coverage * F.col("n_windows"))
     )
+    asked = windows.groupBy("item").agg(F.sort_array(F.collect_set(F.struct("hash", "place", "slots"))).alias("asked"))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for id_, item, n, met, asked in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                listed = [[(x["hash"], x["place"], x["slots"]) for x in xs] for xs in (asked, sorted(met, key=lambda x: (x["place"], x["slots"])))]
+                best = alignment(*listed, min_coverage, min_consistency)
+                if best:
+                    rows.append((id_, item, n, best[0], best[0] / n, best[1]))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], LEAKS.replace(",", "").split()[::2])
+
+    return covered.join(asked, "item").select("id", "item", "n_windows", "met", "asked").mapInArrow(align, LEAKS)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:

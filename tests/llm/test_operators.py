@@ -266,6 +266,17 @@ def test_leaks_with_other_slots(spark):
     assert [(r["doc_id"], r["item_id"]) for r in found] == [(0, 1)]
 
 
+def test_leaks_beside_other_fillings_of_the_template(spark):
+    ask = "Today {} buys {} apples for {} dollars at the old market and later gives {} of these same apples to {} in the park."
+    items = spark.createDataFrame([(1, ask.format("Tom", 12, 3, 12, "Ann"))], "item_id long, text string")
+    copy, other, mixed = ask.format("Tom", 12, 3, 12, "Ann"), ask.format("Bob", 5, 20, 5, "Sue"), ask.format("Bob", 5, 20, 9, "Sue")
+    part = "Then she buys 7 apples for 20 dollars at the old market and later goes home."
+    split = copy.replace("old market", "old and famous market")
+    texts = [f"{copy}\n{other}", f"{other}\n{part}\n{copy}", mixed, f"{mixed}\n{part}", f"{part}\n{split}", f"{copy}\n{mixed}\n{part}"]
+    found = decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["n_matched"] <= r["n_windows"]) for r in found) == [(i, True) for i in (0, 1, 4, 5)]
+
+
 def test_top_k_equals_its_sql(spark, sf_dir):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf_dir}/embeddings.parquet')")
