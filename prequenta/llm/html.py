@@ -2,9 +2,11 @@
 
 Pages of a host share templates, so they agree on where the article is. Three steps:
 
-1. per page, every container (``div``, ``article``, ``section`` ...) is scored by the text it holds
-   outside menus, adverts and the like, by its share of links and by its kind; the page votes for
-   the generalised tag-class path of its best container (digits out, ids ignored);
+1. per page, every container (``div``, ``article``, ``section`` ...) is scored by the text it holds,
+   by its share of links and by its kind; words of class and role that hint at something beside the
+   article count against a container and against the containers around it, but drop no text. Only
+   elements that are menus, adverts and the like by tag, role or a whole class name are dropped. The
+   page votes for the generalised tag-class path of its best container (digits out, ids ignored);
 2. the votes are counted per host and path in Spark (pre-aggregated, so a host may hold any share
    of the pages), and the path with most votes wins (ties: higher total score, then smaller path);
 3. every page is extracted again with its host's winning path, or with its own best container if
@@ -37,16 +39,25 @@ SALTS = 64
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)""", re.S
 )
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "select", "object", "canvas", "video", "audio"}
+RAW = {"script", "style", "template", "iframe", "textarea", "title", "svg", "select", "canvas", "video", "audio", "annotation", "annotation-xml"}
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr object math semantics mrow mi mn mo ms mtext mspace msub msup msubsup mfrac msqrt mroot mover "
+    "munder munderover mstyle mpadded mphantom merror menclose mmultiscripts mprescripts mtable mtr mtd mlabeledtr".split()
 )
 VOID = set("area base col embed hr input link meta param source track".split())
 CONTAINERS = set("article body center div main section td".split())
-ASIDE_TAGS = set("nav footer aside form menu dialog button fieldset head figcaption".split())
+ASIDE_TAGS = set("nav footer aside form menu dialog button fieldset head".split())
 SAFE_TAGS = {"html", "body", "main", "article"}
-# Words of class, id and role that mark what is not the article.
+# Whole names of class and role that are never part of the article.
+ASIDE_CLASSES = set(
+    "ad ads adv ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper adsbygoogle advert adverts advertisement advertising banner-ad "
+    "breadcrumb breadcrumbs comment-form comment-list comments comments-area comments-section cookie-banner cookie-consent cookie-notice "
+    "masthead nav navbar navigation newsletter-signup pagination pager related-articles related-posts share-buttons sidebar site-footer "
+    "site-header site-nav skip-link social-links social-share sponsored sponsored-content".split()
+)
+ASIDE_ROLES = set("alertdialog banner dialog menu menubar navigation search toolbar".split())
+# Words of class and role that hint at what is not the article; they only weigh.
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "copyright dialog disclaimer discussion disqus foot footer gdpr header hidden legal login masthead menu modal nav navbar "
@@ -54,6 +65,8 @@ ASIDE_WORDS = set(
     "reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 BEFORE = {"has", "with", "no", "without"}  # "has-sidebar" is not a sidebar
+ASIDE_WEIGHT = 0.25  # of a container with such words
+ASIDE_SHARE = -0.1  # of its text in the containers around it
 ARTICLE_WORDS = set("article blog body content entry main page post story text".split())
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 CLOSES_P = set(
@@ -72,25 +85,26 @@ class Page:
     """Blocks of text and the containers around them, read in one pass."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, int]] = []  # (text, link characters, innermost container)
+        self.blocks: list[tuple[str, int, int, bool]] = []  # (text, link characters, innermost container, marked below it)
         self.paths: list[str] = [""]  # by container
         self.parents: list[int] = [-1]
         self.weights: list[float] = [0.5]
+        self.marked: list[bool] = [False]  # or below something marked within the container around
         self._read(source)
 
     def _read(self, source: str) -> None:
-        # Open elements: (tag, container, text is left out, inside an article, header of an article)
-        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        # Open elements: (tag, container, text is left out, inside an article, header of an article, marked below the container)
+        stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 0, False, False, False, False)]
         piece: list[str] = []
         linked = links = at = 0
 
         def flush() -> None:
             nonlocal linked
             if piece:
-                tag, container, out, _, header = stack[-1]
+                tag, container, out, _, header, marked = stack[-1]
                 text = "" if out or (header and tag not in HEADINGS) else " ".join(html.unescape("".join(piece)).split())
                 if text:
-                    self.blocks.append((text, min(linked, len(text)), container))
+                    self.blocks.append((text, min(linked, len(text)), container, marked))
                 piece.clear()
             linked = 0
 
@@ -142,13 +156,19 @@ class Page:
                     stack.append(self._opened(name, token[3], stack[-1]))
         flush()
 
-    def _opened(self, name: str, attributes: str, parent: tuple[str, int, bool, bool, bool]) -> tuple[str, int, bool, bool, bool]:
-        _, container, out, inside, header = parent
+    def _opened(self, name: str, attributes: str, parent: tuple[str, int, bool, bool, bool, bool]) -> tuple[str, int, bool, bool, bool, bool]:
+        _, container, out, inside, header, marked = parent
         found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attributes)} if len(attributes) > 1 else {}
         kind = _words(found.get("class", ""))
-        marks = kind + _words(found.get("id", "")) + _words(found.get("role", ""))
+        role = _words(found.get("role", ""))
+        marks = kind + _words(found.get("id", "")) + role
+        hinted = False
         if name not in SAFE_TAGS and not out:
-            aside = any(w in ASIDE_WORDS and (i == 0 or marks[i - 1] not in BEFORE) for i, w in enumerate(marks))
+            hints = kind + role  # an id is a slug of its title more often than not
+            hinted = any(w in ASIDE_WORDS and (i == 0 or hints[i - 1] not in BEFORE) for i, w in enumerate(hints))
+            hinted = hinted and ARTICLE_WORDS.isdisjoint(hints)
+            classes = found.get("class", "").lower().replace("_", "-").split()
+            aside = not ASIDE_CLASSES.isdisjoint(classes) or not ASIDE_ROLES.isdisjoint(found.get("role", "").lower().split())
             unseen = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
             out = name in ASIDE_TAGS or aside or unseen or (name == "header" and not inside)
         if name in CONTAINERS:
@@ -156,21 +176,34 @@ class Page:
             self.paths.append(f"{self.paths[container]}/{label}")
             self.parents.append(container)
             likely = bool(ARTICLE_WORDS.intersection(marks))
-            self.weights.append({"article": 2.0, "main": 1.4, "body": 0.5}.get(name, 1.3 if likely else 1.0))
-            container = len(self.paths) - 1
-        return name, container, out, inside or name == "article", header or (name == "header" and inside)
+            self.weights.append({"article": 2.0, "main": 1.4, "body": 0.5}.get(name, 1.3 if likely else 1.0) * (ASIDE_WEIGHT if hinted else 1.0))
+            self.marked.append(marked or hinted)
+            container, marked = len(self.paths) - 1, False
+        else:
+            marked = marked or hinted
+        return name, container, out, inside or name == "article", header or (name == "header" and inside), marked
 
     def best(self) -> tuple[str, float]:
         """Path and score of the best container; deeper ones win among equals."""
-        size, link = [0] * len(self.paths), [0] * len(self.paths)
-        for text, linked, container in self.blocks:
-            size[container] += len(text)
-            link[container] += linked
+        # Characters of text, of those in links, and of marked text.
+        size, link, beside = [0] * len(self.paths), [0] * len(self.paths), [0] * len(self.paths)
+        for text, linked, container, marked in self.blocks:
+            if marked:
+                beside[container] += len(text)
+            else:
+                size[container] += len(text)
+                link[container] += linked
         for i in range(len(self.paths) - 1, 0, -1):  # children come after their parents
-            size[self.parents[i]] += size[i]
-            link[self.parents[i]] += link[i]
+            if self.marked[i]:
+                beside[self.parents[i]] += size[i] + beside[i]
+            else:
+                size[self.parents[i]] += size[i]
+                link[self.parents[i]] += link[i]
+                beside[self.parents[i]] += beside[i]
         scores = [
-            (w * (n - a) * (1 + 0.01 * p.count("/")), p) for w, n, a, p in zip(self.weights, size, link, self.paths, strict=True) if n
+            (w * (n - a + ASIDE_SHARE * b) * (1 + 0.01 * p.count("/")), p)
+            for w, n, a, b, p in zip(self.weights, size, link, beside, self.paths, strict=True)
+            if n or b
         ]
         score, path = max(scores, default=(0.0, ""))
         return path, score
@@ -180,7 +213,7 @@ class Page:
         within = [p == path for p in self.paths]
         for i in range(1, len(within)):
             within[i] = within[i] or within[self.parents[i]]
-        return "\n".join(text for text, _, container in self.blocks if within[container])
+        return "\n".join(text for text, _, container, _ in self.blocks if within[container])
 
 
 def host_of(url: Column) -> Column:

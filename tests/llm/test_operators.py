@@ -241,6 +241,24 @@ def test_main_text(spark):
     assert sorted((r["page_id"], r["text"]) for r in got) == [(1, text), (1, text), (2, ""), (3, text), (4, "")]
 
 
+def test_hints_weigh_but_drop_nothing():
+    def text(source):
+        page = html.Page(source)
+        return page.text(page.best()[0])
+
+    long = "a long sentence of the article, " * 9
+    article = (
+        f'<body><article><p>{long}</p><section id="notice-period"><h2 id="related-work">Related work</h2><p>kept {long}</p></section>'
+        f'<p class="legal reader">law</p><figure><figcaption>seen</figcaption></figure><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math>'
+        f' <object>plan</object></p><noscript><p>plain</p></noscript></article><div class="related">more of this site</div></body>'
+    )
+    a = long.strip()
+    assert text(article).split("\n") == [a, "Related work", f"kept {a}", "law", "seen", "so x=2 plan", "plain"]
+    assert text(f'<body><div class="reader-view"><p>{long}</p></div><p class="share">s</p></body>') == a
+    assert text(f'<body><div><div class="text"><p>{long}</p></div><div class="related"><p>{long * 3}</p></div></div></body>') == a
+    assert text(f'<body><div class="text"><p>{long}</p><div class="ad">buy</div><div role="navigation">to</div></div></body>') == a
+
+
 def test_hosts_outvote_a_page(spark):
     usual = '<div class="story"><p>{}</p></div><div class="extra"><p>more</p></div>'
     odd = '<div class="story"><p>short</p></div><div class="extra"><p>much longer than the story of this page</p></div>'
