@@ -7,12 +7,12 @@ compared. Successive strings of a document mostly share their owner; such a run
 
 1. Runs meet by gram. Runs that span the same bytes are repeated as a whole; that settles copies
    however many there are, from hashes alone.
-2. Where different runs share a gram, one of each kind is fetched from its text, and its suffixes
-   are searched breadth first by backward extension: intervals of suffixes with equal prefixes, by
-   increasing length of the prefix, starting from (gram, place of the gram). Each step prepends
-   the symbols of the transform's last column, eight bytes wide, and splits every interval by
-   them; an interval is given up when it holds a single suffix. Those left at LENGTH are the
-   repeated strings. Grams with very many kinds of runs are dealt out further by the bytes that
+2. Where different runs share a gram, one of each kind is fetched from its text, and classes of its
+   strings are refined by hashes, starting from (gram, place of the gram). Each step mixes the next
+   eight bytes, from the end of the strings to their start, into the class and splits it by that; a
+   class is given up when it holds a single string. Those left after all LENGTH bytes are the
+   repeated strings. This takes the place of backward search: there is no Burrows-Wheeler
+   transform, no rank or LF step and no suffix interval. Grams with very many kinds of runs are dealt out further by the bytes that
    all strings of a short stretch share, so no gram has to fit in one task.
 3. The covered bytes go back to the documents as spans.
 
