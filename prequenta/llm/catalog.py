@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prequenta.llm import bpe, decontaminate, html, katz, neardup, secrets, suffixes, tokencount, topk, toxicity
+from prequenta.llm import bpe, decontaminate, html, katz, neardup, secrets, suffixes, tokencount, topk, toxicity, whitening
 
 QUERIES = {
     "op1_katz_scores": katz.op1_katz_scores,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_main_text": html.op8_main_text,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op13_whitened_embeddings": whitening.op13_whitened_embeddings,
 }
 
 ORACLE = {"op10_exact_topk": topk.OP10_SQL}
