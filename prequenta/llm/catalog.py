@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prequenta.llm import bpe, decontaminate, html, katz, neardup, quality, secrets, suffixes, tokencount, topk, toxicity, whitening
+from prequenta.llm import bpe, crosstoken, decontaminate, html, katz, neardup, quality, secrets, suffixes, tokencount, topk, toxicity, whitening
 
 QUERIES = {
     "op1_katz_scores": katz.op1_katz_scores,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_main_text": html.op8_main_text,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_token_alignment": crosstoken.op11_token_alignment,
     "op12_quality_rules": quality.op12_quality_rules,
     "op13_whitened_embeddings": whitening.op13_whitened_embeddings,
 }
