@@ -302,6 +302,8 @@ def _rows(n: int, sums: list[int], centre: np.ndarray, left: np.ndarray, axes: n
         if bound**2 * max(len(centre), 1) < 2**63:
             return pa.array(((n * y - rest.astype(np.int64)) ** 2).sum(axis=1))
         exact = ((n * y.astype(object) - rest) ** 2).sum(axis=1)
+        if max(exact) >= 2**63:
+            raise ValueError("a deviation passes 64 bits")
         return pa.array([int(e) for e in exact], pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
