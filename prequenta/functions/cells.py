@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import isfinite
 
 from pyspark.sql import Column
@@ -37,11 +38,20 @@ def any_missing(array: str) -> str:
     return f"exists({array}, element -> element IS NULL)"
 
 
+def label_fault(raw: Column) -> Column:
+    """What is wrong with a raw label, or NULL. With ``label_class`` the one place that says which labels there are."""
+    message = F.concat(F.lit("label is neither -1 nor 1: "), F.coalesce(raw.cast("string"), F.lit("NULL")))
+    return F.when(raw.isin(*RAW_LABELS), F.lit(None).cast("string")).otherwise(message)
+
+
+def label_class(raw: Column) -> Column:
+    """The class of a raw label, NULL for any that is not one."""
+    return reduce(lambda cases, label: cases.when(raw == label, RAW_LABELS[label]), RAW_LABELS, F).cast("int")
+
+
 def encode_label(raw: Column) -> Column:
     """-1 becomes 0 and 1 stays 1; any other label fails the query and is named."""
-    known = F.when(raw == -1, RAW_LABELS[-1]).when(raw == 1, RAW_LABELS[1])
-    message = F.concat(F.lit("label is neither -1 nor 1: "), F.coalesce(raw.cast("string"), F.lit("NULL")))
-    return known.otherwise(F.raise_error(message)).cast("int")
+    return F.coalesce(label_class(raw), F.raise_error(label_fault(raw)).cast("int"))
 
 
 def strip_line(line: Column) -> Column:

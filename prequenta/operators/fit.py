@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prequenta.functions import cells as C
 from prequenta.model import Model
 from prequenta.session import drop_folder, shared_folder
 
@@ -24,6 +25,13 @@ class SgdSettings:
     mini_batch_fraction: float = 1.0
     reg_type: str | None = "l2"
     tol: float = 0.001
+    # Whether the intercept is learned: of all models, of none, or (None) of those that start with one.
+    intercept: bool | None = None
+
+    def learns_intercept(self, model: Model) -> bool:
+        if self.intercept is False and model.intercept:
+            raise ValueError(f"model {model.name} has the intercept {model.intercept}, which these settings do not carry")
+        return bool(self.intercept or model.intercept)
 
 
 # The settings of the offline fit and of the update per micro-batch.
@@ -34,9 +42,11 @@ MAX_CONCURRENT_FITS = 8
 UPDATERS = {"l2": "SquaredL2Updater", "l1": "L1Updater", None: "SimpleUpdater"}
 
 
-def _write_labelled_text(points: DataFrame, path: str) -> None:
+def _write_labelled_text(points: DataFrame, path: str, constant: bool = False) -> None:
     """Write points as ``label,f1 f2 ...``, the text form MLlib reads labelled points from.
 
+    With ``constant``, a last feature is 1 in every point: its weight is an intercept.
+
     The rebalance gives files of even size whatever the input looked like. A small share
     of a large input otherwise arrives as one sliver per input split, and every gradient
     step would start that many tasks.
@@ -44,6 +54,8 @@ def _write_labelled_text(points: DataFrame, path: str) -> None:
     features = F.concat_ws(" ", F.col("features").cast("array<string>"))
     # Most features are whole numbers: "3.0 " and "3 " are the same double, at half the size.
     short = F.replace(features, F.lit(".0 "), F.lit(" "))
+    if constant:
+        short = F.concat_ws(" ", F.when(F.size("features") > 0, short), F.lit("1"))
     text = F.concat_ws(",", F.col("label").cast("string"), short)
     # concat_ws would leave NULLs out and so shift the features.
     complete = F.col("label").isNotNull() & F.col("features").isNotNull() & ~F.exists("features", lambda v: v.isNull())
@@ -61,41 +73,56 @@ def sgd_fit(points: DataFrame, start: Iterable[Model], settings: SgdSettings = O
     instead of the input. The Java class is used as it is, because its Python entry drops
     the held points when the first of several fits ends.
 
-    Only weights carry over; the fitted intercept is 0. Empty ``points`` are an error.
+    The intercept of a model that starts with one is learned with its weights, as the weight
+    of a feature that is always 1; ``settings.intercept`` says so for all models, or refuses
+    such a model. Models without learn weights alone, and their intercept stays 0. If both
+    kinds are fitted at once, the points are written once for each. Empty ``points`` are an
+    error.
     """
     models = list(start)
     if len({m.name for m in models}) < len(models):
         raise ValueError(f"model names repeat: {[m.name for m in models]}")
+    kinds: dict[bool, list[Model]] = {}
+    for model in models:
+        kinds.setdefault(settings.learns_intercept(model), []).append(model)
     spark = points.sparkSession
     jvm = spark._jvm
     mllib = jvm.org.apache.spark.mllib
-    path = shared_folder(spark, "points")
-    labelled = None
+    held: dict[bool, tuple] = {}
     try:
-        _write_labelled_text(points, path)
-        # The Java method: the Python one would hand every point over in pickled form.
-        labelled = mllib.util.MLUtils.loadLabeledPoints(spark.sparkContext._jsc.sc(), path, 1)
-        labelled.persist(jvm.org.apache.spark.storage.StorageLevel.MEMORY_AND_DISK())
-
-        def fit(model: Model) -> Model:
+        for constant in kinds:
+            path = shared_folder(spark, "points")
+            held[constant] = (path, None)
+            _write_labelled_text(points, path, constant)
+            # The Java method: the Python one would hand every point over in pickled form.
+            labelled = mllib.util.MLUtils.loadLabeledPoints(spark.sparkContext._jsc.sc(), path, 1)
+            labelled.persist(jvm.org.apache.spark.storage.StorageLevel.MEMORY_AND_DISK())
+            held[constant] = (path, labelled)
+
+        def fit(model: Model, constant: bool) -> Model:
             trainer = mllib.classification.LogisticRegressionWithSGD(
                 settings.step, settings.iterations, settings.reg_param, settings.mini_batch_fraction
             )
             trainer.optimizer().setUpdater(getattr(mllib.optimization, UPDATERS[settings.reg_type])())
             trainer.optimizer().setConvergenceTol(settings.tol)
-            weights = spark.sparkContext._gateway.new_array(jvm.double, len(model.weights))
-            for i, weight in enumerate(model.weights):
+            first = [*model.weights, *[model.intercept] * constant]
+            weights = spark.sparkContext._gateway.new_array(jvm.double, len(first))
+            for i, weight in enumerate(first):
                 weights[i] = float(weight)
-            fitted = trainer.run(labelled, mllib.linalg.Vectors.dense(weights))
-            return Model(model.name, tuple(fitted.weights().toArray()), fitted.intercept(), n_classes=fitted.numClasses())
+            fitted = trainer.run(held[constant][1], mllib.linalg.Vectors.dense(weights))
+            learned = tuple(fitted.weights().toArray())
+            intercept = learned[-1] if constant else fitted.intercept()
+            return Model(model.name, learned[: model.n_features], intercept, n_classes=fitted.numClasses())
 
         with ThreadPoolExecutor(min(len(models), MAX_CONCURRENT_FITS)) as pool:
-            fits = [pool.submit(inheritable_thread_target(spark)(fit), m) for m in models]
-            return {f.result().name: f.result() for f in fits}
+            run = inheritable_thread_target(spark)(fit)
+            fits = {m.name: pool.submit(run, m, constant) for constant, some in kinds.items() for m in some}
+            return {m.name: fits[m.name].result() for m in models}
     finally:
-        if labelled is not None:
-            labelled.unpersist(False)
-        drop_folder(spark, path)
+        for path, labelled in held.values():
+            if labelled is not None:
+                labelled.unpersist(False)
+            drop_folder(spark, path)
 
 
 def lbfgs_fit(
@@ -118,3 +145,25 @@ def lbfgs_fit(
         tol=tol,
     ).fit(vectors)
     return Model.of(name, fitted.coefficients.toArray(), fitted.intercept)
+
+
+def optimality(points: DataFrame, model: Model, reg_param: float = 0.0, elastic_net: float = 1.0) -> DataFrame:
+    """``(k, weight, gradient, bound, residual)``: how far each weight is from satisfying the conditions of an optimum.
+
+    One aggregate over all points gives the gradient of the mean loss and each feature's spread.
+    The penalty of ``lbfgs_fit`` is on the weights of standardised features: its smooth part adds to
+    the gradient, and its absolute part allows a sub-gradient of up to ``bound``. At the optimum of
+    this convex problem, and nowhere else, all residuals are 0: a weight that is not 0 needs the
+    gradient opposite to the bound, and a weight at 0 a gradient within it.
+    """
+    error = f"(1D / (1D + exp(-({C.margin('features', model.weights, model.intercept)}))) - label)"
+    sums = []
+    for i in range(model.n_features):
+        sums += [f"avg(_error * get(features, {i})) AS g{i}", f"coalesce(stddev_samp(get(features, {i})), 0D) AS s{i}"]
+    total = points.selectExpr("features", f"{error} AS _error").selectExpr(*sums)
+    absolute, square = reg_param * elastic_net, reg_param * (1 - elastic_net)
+    rows = ", ".join(f"{i + 1}L, {C.double_sql(w)}, g{i}, s{i}" for i, w in enumerate(model.weights))
+    listed = total.select(F.expr(f"stack({model.n_features}, {rows})").alias("k", "weight", "g", "s"))
+    smooth = listed.selectExpr("k", "weight", f"g + {C.double_sql(square)} * s * s * weight AS gradient", f"{C.double_sql(absolute)} * s AS bound")
+    residual = "IF(weight = 0, greatest(abs(gradient) - bound, 0D), abs(gradient + signum(weight) * bound))"
+    return smooth.selectExpr("*", f"{residual} AS residual")

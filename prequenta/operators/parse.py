@@ -54,29 +54,28 @@ def parse_labelled(
         # than once is evaluated before both. So a header must not fail the parser either.
         is_header = _is_header(F.col("_line"), header)
     ints = _integer_rows(df, line, keep).withColumn("_header", is_header)
-    raw_label = f"get(_cells, {n_features})"
-    reason = f"""CASE
-        WHEN _header THEN NULL
-        WHEN _line IS NULL THEN 'no line'
-        WHEN _width != {n_features + 1} THEN concat('cells in line: ', _width)
-        WHEN {C.any_missing("_cells")} THEN 'a cell is no integer'
-        WHEN {raw_label} NOT IN ({", ".join(map(str, C.RAW_LABELS))}) THEN concat('label is neither -1 nor 1: ', {raw_label})
-        END AS _reason"""
-    checked = ints.selectExpr(*keep, "_line", "_cells", reason)
-    label = f"CAST({raw_label} = 1 AS INT)"
+    raw_label = F.get("_cells", F.lit(n_features))
+    reason = (
+        F.when(F.col("_header"), F.lit(None).cast("string"))
+        .when(F.col("_line").isNull(), F.lit("no line"))
+        .when(F.col("_width") != n_features + 1, F.concat(F.lit("cells in line: "), F.col("_width").cast("string")))
+        .when(F.expr(C.any_missing("_cells")), F.lit("a cell is no integer"))
+        .otherwise(C.label_fault(raw_label))
+    )
+    checked = ints.select(*keep, "_line", "_cells", C.label_class(raw_label).alias("_label"), reason.alias("_reason"))
     features = f"CAST(slice(_cells, 1, {n_features}) AS ARRAY<DOUBLE>)"
     if mode == "strict":
         failure = "raise_error(concat(_reason, ' in line: ', coalesce(_line, 'NULL')))"
         # Both columns carry the check, so that pruning one cannot drop it.
         return checked.selectExpr(
             *keep,
-            f"CASE WHEN _reason IS NULL THEN {label} ELSE CAST({failure} AS INT) END AS label",
+            f"CASE WHEN _reason IS NULL THEN _label ELSE CAST({failure} AS INT) END AS label",
             f"CASE WHEN _reason IS NULL THEN {features} ELSE CAST({failure} AS ARRAY<DOUBLE>) END AS features",
         )
     return checked.selectExpr(
         *keep,
         "_line AS line",
-        f"CASE WHEN _reason IS NULL THEN {label} END AS label",
+        "CASE WHEN _reason IS NULL THEN _label END AS label",
         f"CASE WHEN _reason IS NULL THEN {features} END AS features",
         f"_reason AS {REJECT}",
     )
@@ -98,7 +97,7 @@ def named_rows(
         *keep,
         "_cells",
         f"CASE WHEN _width = {len(names)} AND NOT {C.any_missing('_cells')} THEN true"
-        " ELSE CAST(raise_error(concat('not a row of integers: ', _line)) AS BOOLEAN) END AS _ok",
+        " ELSE CAST(raise_error(concat('not a row of integers: ', coalesce(_line, 'NULL'))) AS BOOLEAN) END AS _ok",
     )
     # Each column carries the check, so that pruning the others cannot drop it.
     return checked.select(*keep, *[F.expr(f"IF(_ok, get(_cells, {i}), NULL)").alias(n) for i, n in enumerate(names)])

@@ -15,7 +15,7 @@ from prequenta.operators.evaluate import confusion_counts
 from prequenta.operators.fit import OFFLINE, SgdSettings, lbfgs_fit, sgd_fit
 from prequenta.operators.score import score
 from prequenta.operators.split import SEED, TRAIN_FRACTION, hash_split, random_split
-from prequenta.sources.models import save_models
+from prequenta.sources.models import save_models, save_platform_model
 from prequenta.sources.text import read_labelled_csv
 
 
@@ -44,8 +44,9 @@ def main(argv: list[str] | None = None) -> None:
     args.add_argument("--features", type=int, default=N_FEATURES)
     args.add_argument("--fraction", type=float, default=TRAIN_FRACTION)
     args.add_argument("--seed", type=int, default=SEED)
-    args.add_argument("--split", choices=("random", "hash"), default="random")
+    args.add_argument("--split", choices=("random", "hash"), default="hash")
     args.add_argument("--trainer", choices=("sgd", "lbfgs"), default="sgd")
+    args.add_argument("--platform", action="store_true", help="write --models as Spark's own LogisticRegressionModel does, into a new folder")
     args.add_argument("--holdout", action="store_true", help="also print counts on the rest")
     opt = args.parse_args(argv)
 
@@ -59,7 +60,10 @@ def main(argv: list[str] | None = None) -> None:
         model = sgd_fit(train, [cold_model(PRETRAINED, opt.features)])[PRETRAINED]
     else:
         model = lbfgs_fit(train, PRETRAINED)
-    save_models(spark, [model], opt.models)
+    if opt.platform:
+        save_platform_model(spark, model, opt.models)
+    else:
+        save_models(spark, [model], opt.models)
     if opt.holdout:
         holdout_confusion(rest, model).show()
 

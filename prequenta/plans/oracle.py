@@ -5,7 +5,7 @@ from __future__ import annotations
 from prequenta.functions.hashing import MODULUS, MULTIPLIERS, share_limit
 from prequenta.model import COLD, KEY_SUFFIX, N_FEATURES, PRETRAINED, SERIES_LABEL, Model
 from prequenta.operators.fit import SgdSettings
-from prequenta.operators.split import SEED
+from prequenta.operators.split import SEED, poisson_limits
 from prequenta.plans.fixtures import ITEM_KEYS, ITEMS_SQL, LINE_SQL, STREAM_SQL, VECTORS_SQL, batch_sql
 
 
@@ -36,6 +36,25 @@ def bucket_sql(keys: tuple[str, ...], seed: int = SEED) -> str:
     return f"({high}) * {MODULUS} + ({low})"
 
 
+def states_sql(keys: tuple[str, ...], seed: int = SEED) -> tuple[str, str]:
+    high, low = bucket_sql(keys, seed).rsplit(f" * {MODULUS} + ", 1)
+    return high, low
+
+
+def scattered_sql(name: str, source: str, keys: tuple[str, ...], seed: int = SEED) -> str:
+    """``<name>``: the rows of ``source`` with the scattered ``bucket`` of their keys."""
+    high, low = states_sql(keys, seed)
+    inner = f"SELECT *, {high} AS h0, {low} AS l0 FROM {source}"
+    for r in range(2):
+        inner = f"SELECT *, (h{r} + l{r} * l{r} % {MODULUS}) % {MODULUS} AS h{r + 1} FROM ({inner})"
+        inner = f"SELECT *, (l{r} + h{r + 1} * h{r + 1} % {MODULUS}) % {MODULUS} AS l{r + 1} FROM ({inner})"
+    return f"{name} AS (SELECT *, h2 * {MODULUS} + l2 AS bucket FROM ({inner}))"
+
+
+def draws_sql(mean: float) -> str:
+    return " + ".join(f"CASE WHEN bucket >= {limit} THEN 1 ELSE 0 END" for limit in poisson_limits(mean))
+
+
 def in_train_sql(keys: tuple[str, ...], fraction: float) -> str:
     return f"{bucket_sql(keys)} < {share_limit(fraction)}"
 
@@ -55,12 +74,12 @@ def counts_sql(by: tuple[str, ...] = ()) -> str:
     return f"counts AS (SELECT {columns}, count(*) AS n FROM scored GROUP BY {columns})"
 
 
-def _gradient_step(state: str, points: str, join: str, keys: str, settings: SgdSettings) -> str:
+def _gradient_step(state: str, points: str, join: str, keys: str, settings: SgdSettings, width: int = N_FEATURES) -> str:
     """One descent step for every row of ``state``; yields ``keys``, ``i``, ``w``, ``v`` (new weights)."""
     scale = f"({settings.step!r} / sqrt(any_value(i) + 1))"
     new = ", ".join(
         f"any_value(w)[{k}] * (1 - {scale} * {settings.reg_param!r}) - {scale} * avg(e * x[{k}])"
-        for k in range(1, N_FEATURES + 1)
+        for k in range(1, width + 1)
     )
     return f"""SELECT {keys}, any_value(i) AS i, any_value(w) AS w, [{new}] AS v
         FROM (SELECT {state}.*, p.x, 1 / (1 + exp(-list_dot_product(p.x, {state}.w))) - p.y AS e
@@ -73,10 +92,10 @@ def _moved_little(settings: SgdSettings) -> str:
     return f"(i >= 1 AND {distance} < {settings.tol!r} * greatest({norm}, 1))"
 
 
-def fit_sql(name: str, points: str, start: str, settings: SgdSettings) -> str:
+def fit_sql(name: str, points: str, start: str, settings: SgdSettings, width: int = N_FEATURES) -> str:
     """``<name>(model, w)``: gradient descent over ``points(x, y)`` from ``start(model, w)``."""
     unfinished = f"NOT {name}_steps.done AND {name}_steps.i < {settings.iterations}"
-    step = _gradient_step(f"{name}_steps", points, unfinished, "model", settings)
+    step = _gradient_step(f"{name}_steps", points, unfinished, "model", settings, width)
     return f"""
     {name}_steps(model, i, w, done) AS (
         SELECT model, 0, w, false FROM {start}
@@ -101,17 +120,40 @@ def prequential_sql(name: str, points: str, start: str, settings: SgdSettings) -
     {name} AS (SELECT model, batch_id, w FROM {name}_steps WHERE i = 0)"""
 
 
-def points_sql(name: str, source: str, columns: str = "", where: str = "true") -> str:
-    return f"{name} AS MATERIALIZED (SELECT {columns} CAST(f AS DOUBLE[]) AS x, label AS y FROM {source} WHERE {where})"
+def optimum_sql(name: str, points: str, reg_param: float, step: float = 4.0, iterations: int = 250) -> str:
+    """``<name>(w)``: the optimum of the mean loss with an absolute penalty on the standardised weights.
+
+    Descent with a fixed step, each followed by the shrinking step of the penalty.
+    """
+
+    def new(k: int) -> str:
+        moved = f"(any_value(w)[{k}] - {step!r} * avg(e * x[{k}]))"
+        return f"sign({moved}) * greatest(abs({moved}) - {step * reg_param!r} * any_value(s)[{k}], 0)"
+
+    spread = ", ".join(f"stddev_samp(x[{k}])" for k in range(1, N_FEATURES + 1))
+    return f"""
+    {name}_spread AS MATERIALIZED (SELECT [{spread}] AS s FROM {points}),
+    {name}_steps(i, w) AS (
+        SELECT 0, {ZEROS_SQL}
+        UNION ALL
+        SELECT i + 1, [{", ".join(new(k) for k in range(1, N_FEATURES + 1))}] FROM (
+            SELECT t.i, t.w, p.x, z.s, 1 / (1 + exp(-list_dot_product(p.x, t.w))) - p.y AS e
+            FROM {name}_steps AS t JOIN {points} AS p ON t.i < {iterations} JOIN {name}_spread AS z ON true) GROUP BY i),
+    {name} AS (SELECT arg_max(w, i) AS w FROM {name}_steps)"""
+
+
+def points_sql(name: str, source: str, columns: str = "", where: str = "true", constant: bool = False) -> str:
+    x = "CAST(f AS DOUBLE[])" + (" || [1]::DOUBLE[]" if constant else "")
+    return f"{name} AS MATERIALIZED (SELECT {columns} {x} AS x, label AS y FROM {source} WHERE {where})"
 
 
 def start_sql(name: str, models: dict[str, str]) -> str:
     return f"{name} AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, {w} AS w" for m, w in models.items()) + ")"
 
 
-def weights_out_sql(source: str) -> str:
+def weights_out_sql(source: str, width: int = N_FEATURES) -> str:
     return (
-        f"SELECT model, unnest(range(1, {N_FEATURES + 1})) AS k, round(unnest(w), 6) AS weight FROM {source}"
+        f"SELECT model, unnest(range(1, {width + 1})) AS k, round(unnest(w), 6) AS weight FROM {source}"
     )
 
 
@@ -141,11 +183,3 @@ def stream_batches_sql(batches: int) -> str:
 def counter_key_sql() -> str:
     suffix = " ".join(f"WHEN '{m}' THEN '{text}'" for m, text in KEY_SUFFIX.items())
     return f"predicted || ':' || CAST(CAST(actual AS DOUBLE) AS VARCHAR) || CASE model {suffix} END"
-
-
-__all__ = [
-    "CELLS_SQL", "COLD", "HIT_SQL", "ITEMS_SQL", "ITEM_KEY_SQL", "LINE_SQL", "PRETRAINED", "STREAM_SQL",
-    "VECTORS_SQL", "ZEROS_SQL", "accuracy_sql", "batch_sql", "bucket_sql", "counter_key_sql", "counts_sql",
-    "fit_sql", "in_train_sql", "list_sql", "points_sql", "predict_sql", "prequential_sql", "running_sql",
-    "scored_sql", "start_sql", "stream_batches_sql", "weights_out_sql", "with_sql",
-]

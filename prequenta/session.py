@@ -25,3 +25,19 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(hadoop_path, True)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none if it does not exist."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop_path):
+        return []
+    return [entry.getPath().getName() for entry in fs.listStatus(hadoop_path)]
+
+
+def create_marker(spark: SparkSession, path: str) -> None:
+    """Create an empty file; an error if there is one already."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.create(hadoop_path, False).close()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from datetime import datetime
 from uuid import uuid4
 
 from pyspark import StorageLevel
@@ -15,10 +16,17 @@ from pyspark.sql.streaming import StreamingQuery
 from prequenta.model import N_FEATURES, Model
 from prequenta.operators.evaluate import confusion_counts
 from prequenta.operators.fit import ONLINE, SgdSettings, sgd_fit
-from prequenta.operators.parse import parse_labelled
+from prequenta.operators.parse import parse_labelled, split_rejects
+from prequenta.operators.report import POINTS, last_points, running_accuracy
 from prequenta.operators.score import score
-from prequenta.sources import counts as count_table
+from prequenta.sources.counts import BATCHES_PER_ERA, CountTable
 from prequenta.sources.models import load_models, save_models
+from prequenta.sources.rejects import read_rejects as rejects_below
+from prequenta.sources.rejects import write_rejects
+from prequenta.streaming.progress import ProgressWriter, read_progress as progress_below
+
+
+RUNS_SCHEMA = "run_id string, started timestamp, batches_per_era bigint"
 
 
 @dataclass(frozen=True)
@@ -26,11 +34,24 @@ class Run:
     """One run's folder. Counts, model versions and stream progress live and end together."""
 
     path: str
+    batches_per_era: int = BATCHES_PER_ERA
 
     @property
     def counts(self) -> str:
         return f"{self.path}/counts"
 
+    @property
+    def count_table(self) -> CountTable:
+        return CountTable(self.counts, self.batches_per_era)
+
+    @property
+    def rejects(self) -> str:
+        return f"{self.path}/rejects"
+
+    @property
+    def progress(self) -> str:
+        return f"{self.path}/progress"
+
     @property
     def models(self) -> str:
         return f"{self.path}/models"
@@ -44,41 +65,76 @@ def latest_run(spark: SparkSession, out: str) -> Run | None:
     """The run below ``out`` that started last."""
     base = out.rstrip("/")
     try:
-        latest = spark.read.parquet(f"{base}/runs").agg(F.max_by("run_id", "started")).first()[0]
+        runs = spark.read.schema(RUNS_SCHEMA).parquet(f"{base}/runs")
+        latest = runs.agg(F.max_by(F.struct("*"), "started").alias("run")).select("run.*").first()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return Run(f"{base}/run-{latest}")
+    return Run(f"{base}/run-{latest['run_id']}", latest["batches_per_era"] or BATCHES_PER_ERA)
 
 
-def open_run(spark: SparkSession, out: str, reset: bool = False) -> Run:
+def open_run(spark: SparkSession, out: str, reset: bool = False, batches_per_era: int = BATCHES_PER_ERA) -> Run:
     """The latest run below ``out``, or a new one if there is none or ``reset`` is set.
 
-    A reset starts from nothing in a folder of its own; earlier runs stay readable.
+    A reset starts from nothing in a folder of its own; earlier runs stay readable. A run keeps
+    the ``batches_per_era`` it was opened with first.
     """
+    if batches_per_era < 1:
+        raise ValueError(f"an era needs a batch: {batches_per_era}")
     found = None if reset else latest_run(spark, out)
     if found is not None:
         return found
     base, run_id = out.rstrip("/"), uuid4().hex
     (
         spark.range(1, numPartitions=1)
-        .select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("started"))
+        .select(
+            F.lit(run_id).alias("run_id"),
+            F.current_timestamp().alias("started"),
+            F.lit(batches_per_era).cast("bigint").alias("batches_per_era"),
+        )
         .write.mode("append")
         .parquet(f"{base}/runs")
     )
-    return Run(f"{base}/run-{run_id}")
+    return Run(f"{base}/run-{run_id}", batches_per_era)
+
 
+def read_counts(spark: SparkSession, run: Run, times: bool = False) -> DataFrame:
+    """``(batch_id, model, predicted, actual, n)`` of all batches, with ``times`` also ``at``, when each was committed."""
+    counts = run.count_table.read(spark)
+    return counts if times else counts.drop("at")
 
-def read_counts(spark: SparkSession, run: Run) -> DataFrame:
-    return count_table.read_counts(spark, run.counts)
+
+def read_totals(spark: SparkSession, run: Run) -> DataFrame:
+    """``(model, predicted, actual, n)`` over all batches, without reading closed eras."""
+    return run.count_table.totals(spark)
+
+
+def newest_points(spark: SparkSession, run: Run, n: int = POINTS, seed_zeros: bool = False) -> DataFrame:
+    """``last_points`` of the running accuracy, from the eras that hold them and one total of all before."""
+    counts, before = run.count_table.newest(spark, n)
+    return last_points(running_accuracy(counts, before=before), n, seed_zeros)
+
+
+def read_rejects(spark: SparkSession, run: Run) -> DataFrame:
+    """``(batch_id, line, reject_reason)`` of all lines that the permissive stream could not parse."""
+    return rejects_below(spark, run.rejects)
+
+
+def read_progress(spark: SparkSession, run: Run) -> DataFrame:
+    """``(batch_id, input_rows, started, duration_ms)`` of all micro-batches, empty ones included."""
+    return progress_below(spark, run.progress)
 
 
 class TestThenTrain:
     """The work per micro-batch, safe to repeat for the same batch id.
 
-    Both tables are keyed by batch id and a batch starts from the newest models *before*
-    it, so a batch that runs again after a crash recomputes and replaces its own rows.
+    All tables are keyed by batch id and a batch starts from the newest models *before*
+    it, so a batch that runs again after a crash recomputes and replaces its own rows. With
+    ``mode="permissive"``, lines that do not parse go to the rejects of the batch instead of
+    stopping the stream at the same place for ever; a batch without any good line leaves
+    nothing else. Eras that the stream has left are closed. ``clock`` gives the commit time
+    of a batch, by default the time its counts are written.
     """
 
     __test__ = False
@@ -90,8 +146,13 @@ class TestThenTrain:
         settings: SgdSettings = ONLINE,
         train: bool = True,
         n_features: int = N_FEATURES,
+        mode: str = "strict",
+        clock: Callable[[int], datetime] | None = None,
     ) -> None:
         self.run = run
+        self.mode = mode
+        self.clock = clock
+        self._closed_before: int | None = None
         self.initial = {m.name: m for m in initial}
         self.settings = settings
         self.train = train
@@ -112,7 +173,7 @@ class TestThenTrain:
 
     def _stored_before(self, spark: SparkSession, batch_id: int) -> dict[str, Model]:
         # Batches that had no rows leave no version behind.
-        for era in range(count_table.era_of(batch_id), -1, -1):
+        for era in range(self.run.count_table.era_of(batch_id), -1, -1):
             try:
                 found = load_models(spark, self._era_folder(era), before=batch_id)
             except AnalysisException as missing:
@@ -123,23 +184,37 @@ class TestThenTrain:
                 return found
         return {}
 
+    def _close_eras(self, spark: SparkSession, batch_id: int) -> None:
+        """Once per era, and once after a (re)start; what could not be closed is tried again."""
+        table = self.run.count_table
+        era = table.era_of(batch_id)
+        if self._closed_before != era and table.close_before(spark, batch_id) >= 0:
+            self._closed_before = era
+
     def __call__(self, lines: DataFrame, batch_id: int) -> None:
         spark = lines.sparkSession
-        points = parse_labelled(lines, n_features=self.n_features)
-        points = points.persist(StorageLevel.MEMORY_AND_DISK)
+        parsed = parse_labelled(lines, n_features=self.n_features, mode=self.mode)
+        parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if points.isEmpty():
+            if parsed.isEmpty():
                 return
+            points = parsed
+            table = self.run.count_table
+            if self.mode == "permissive":
+                points, bad = split_rejects(parsed)
+                write_rejects(bad, batch_id, table.era_of(batch_id), self.run.rejects)
+                if points.isEmpty():
+                    return
             models = self.models_before(spark, batch_id)
             scored = score(points, models.values())
-            count_table.write_counts(confusion_counts(scored, list(models)), batch_id, self.run.counts)
+            table.write(confusion_counts(scored, list(models)), batch_id, self.clock and self.clock(batch_id))
             if self.train:
                 fitted = sgd_fit(points, models.values(), self.settings)
-                era = self._era_folder(count_table.era_of(batch_id))
-                save_models(spark, fitted.values(), era, version=batch_id)
+                save_models(spark, fitted.values(), self._era_folder(table.era_of(batch_id)), version=batch_id)
                 self._cached = (batch_id, fitted)
+            self._close_eras(spark, batch_id)
         finally:
-            points.unpersist()
+            parsed.unpersist()
 
 
 def run_prequential(
@@ -151,17 +226,27 @@ def run_prequential(
     n_features: int = N_FEATURES,
     interval: str = "1 second",
     available_now: bool = False,
+    mode: str = "strict",
+    clock: Callable[[int], datetime] | None = None,
+    progress: bool = False,
 ) -> StreamingQuery:
     """Start the stream. ``lines`` is any streaming DataFrame with the line in ``value``.
 
     ``interval`` is the shortest time between micro-batches; a batch that learns longer
     delays the next one. ``available_now`` stops after the input that exists at the start.
+    ``mode="permissive"`` keeps lines that do not parse in the run's rejects. ``progress``
+    adds a listener that writes every micro-batch to the run's progress table.
     """
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return (
+    writer = (
         lines.select("value")
-        .writeStream.foreachBatch(TestThenTrain(run, initial, settings, train, n_features))
+        .writeStream.foreachBatch(TestThenTrain(run, initial, settings, train, n_features, mode, clock))
         .option("checkpointLocation", run.checkpoint)
         .trigger(**trigger)
-        .start()
     )
+    if not progress:
+        return writer.start()
+    name = f"prequenta-{uuid4().hex}"
+    spark = lines.sparkSession
+    spark.streams.addListener(ProgressWriter(spark, name, run.progress, run.count_table.era_of))
+    return writer.queryName(name).start()

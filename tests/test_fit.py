@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -26,9 +28,43 @@ def test_descent_rule(data, settings):
         assert fitted[model.name].intercept == 0.0
 
 
-def test_intercept_is_not_carried_over(data):
-    fitted = q.sgd_fit(data[0], [q.Model.of("m", [0, 0, 0], 0.7)], q.ONLINE)
-    assert fitted["m"].intercept == 0.0
+@pytest.mark.parametrize("settings", [q.OFFLINE, q.ONLINE])
+def test_intercept_is_learned_where_it_starts(data, settings):
+    """As the weight of a constant feature, beside a model that has none."""
+    points, x, y = data
+    start = [q.Model.of("m", [0.1, 0, 0], 0.7), q.cold_model(n_features=3)]
+    fitted = q.sgd_fit(points, start, settings)
+    rule = settings.iterations, settings.step, settings.reg_param, settings.tol
+    want = descend(np.c_[x, np.ones(len(x))], y, [0.1, 0, 0, 0.7], *rule)
+    assert np.allclose([*fitted["m"].weights, fitted["m"].intercept], want, atol=1e-9)
+    assert np.allclose(fitted["cold"].weights, descend(x, y, [0] * 3, *rule), atol=1e-9) and fitted["cold"].intercept == 0.0
+    assert list(fitted) == ["m", "cold"]
+
+
+def test_intercept_of_all_models_or_of_none(data):
+    points, x, y = data
+    always = replace(q.ONLINE, intercept=True)
+    fitted = q.sgd_fit(points, [q.cold_model(n_features=3)], always)["cold"]
+    want = descend(np.c_[x, np.ones(len(x))], y, [0] * 4, 50, 0.1, 0.0, 0.001)
+    assert np.allclose([*fitted.weights, fitted.intercept], want, atol=1e-9)
+    with pytest.raises(ValueError, match="intercept 0.7"):
+        q.sgd_fit(points, [q.Model.of("m", [0, 0, 0], 0.7)], replace(q.ONLINE, intercept=False))
+
+
+@pytest.mark.parametrize("reg_param, elastic_net", [(0.0, 1.0), (0.05, 1.0), (0.3, 0.0), (0.1, 0.5), (10.0, 1.0)])
+def test_optimality_is_zero_at_the_optimum_only(data, reg_param, elastic_net):
+    points, x, y = data
+    best = q.lbfgs_fit(points, reg_param=reg_param, elastic_net=elastic_net, tol=1e-12, max_iter=500)
+    rows = sorted(q.optimality(points, best, reg_param, elastic_net).collect())
+    assert max(r["residual"] for r in rows) < 1e-5
+    error, spread = 1 / (1 + np.exp(-(x @ np.array(best.weights)))) - y, x.std(axis=0, ddof=1)
+    for k, r in enumerate(rows):
+        slope = error @ x[:, k] / len(y) + reg_param * (1 - elastic_net) * spread[k] ** 2 * best.weights[k]
+        assert r["k"] == k + 1 and np.isclose(r["gradient"], slope) and np.isclose(r["bound"], reg_param * elastic_net * spread[k])
+    if reg_param == 10.0:
+        assert set(best.weights) == {0.0}
+    away = q.Model.of("away", [w + 0.3 for w in best.weights])
+    assert max(r["residual"] for r in q.optimality(points, away, reg_param, elastic_net).collect()) > 1e-3
 
 
 def test_uneven_partitions_do_not_change_the_fit(data):
