@@ -10,8 +10,8 @@ import argparse
 from pyspark.sql import SparkSession
 
 from prequenta.operators.evaluate import accuracy_json
-from prequenta.operators.report import POINTS, last_points, running_accuracy
-from prequenta.streaming.prequential import latest_run, read_counts
+from prequenta.operators.report import POINTS
+from prequenta.streaming.prequential import latest_run, newest_points, read_totals
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -24,9 +24,8 @@ def main(argv: list[str] | None = None) -> None:
     run = latest_run(spark, opt.out)
     if run is None:
         raise SystemExit(f"there is no run below {opt.out}")
-    counts = read_counts(spark, run)
-    print(accuracy_json(counts).first()["json"])
-    points = last_points(running_accuracy(counts), opt.points, seed_zeros=True).orderBy("model", "seq")
+    print(accuracy_json(read_totals(spark, run)).first()["json"])
+    points = newest_points(spark, run, opt.points, seed_zeros=True).orderBy("model", "seq")
     points.show(points.count(), truncate=False)
 
 

@@ -1,9 +1,10 @@
+import math
 from collections import Counter
 
 import pytest
 
 import prequenta as q
-from prequenta.functions.hashing import MODULUS, MULTIPLIERS, key_bucket, share_limit
+from prequenta.functions.hashing import MODULUS, MULTIPLIERS, key_bucket, scattered_bucket, share_limit
 from pyspark.sql import functions as F
 
 
@@ -63,3 +64,47 @@ def test_a_share_has_no_smallest_value():
 def test_small_shares_are_kept(spark, fraction):
     chosen = q.hash_split(spark.range(200_000), ["id"], fraction)[0].count()
     assert 0.3 < chosen / (200_000 * fraction) < 2
+
+
+def test_keyed_draws_ignore_partitioning_and_follow_poisson(spark):
+    df = spark.range(20_000)
+    drawn = Counter(tuple(r) for r in q.bootstrap_sample(df, 1.0, keys=["id"]).collect())
+    assert drawn == Counter(tuple(r) for r in q.bootstrap_sample(df.repartition(7), 1.0, keys=["id"]).collect())
+    assert set(drawn.values()) == {1}
+    times = Counter(Counter(i for i, _ in drawn).values())
+    times[0] = 20_000 - sum(times.values())
+    for k in range(5):
+        share = math.exp(-1) / math.factorial(k)
+        assert abs(times[k] - 20_000 * share) < 5 * math.sqrt(20_000 * share)
+    other = Counter(i for i, _ in map(tuple, q.bootstrap_sample(df, 1.0, seed=5, keys=["id"]).collect()))
+    assert other != Counter(i for i, _ in drawn)
+
+
+def test_keyed_draws_of_neighbours_are_independent(spark):
+    """Totals of blocks of neighbouring keys vary as sums of independent draws do."""
+    sums = Counter(r[0] // 50 for r in q.bootstrap_sample(spark.range(50_000), 1.0, keys=["id"]).collect())
+    totals = [sums[b] for b in range(1000)]
+    spread = sum((t - 50) ** 2 for t in totals) / 1000
+    assert 40 < spread < 60
+
+
+@pytest.mark.parametrize("mean", [0.01, 0.5, 30.0])
+def test_keyed_draws_of_any_mean(spark, mean):
+    n = q.bootstrap_sample(spark.range(5_000), mean, keys=["id"]).count()
+    assert abs(n - 5_000 * mean) < 6 * math.sqrt(5_000 * mean)
+
+
+def test_keyed_draws_of_equal_and_missing_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k bigint, v string")
+    drawn = Counter(r["v"] for r in q.bootstrap_sample(df, 3.0, keys=["k"]).collect())
+    assert drawn["a"] == drawn["b"] and drawn["d"] == 0
+    with pytest.raises(ValueError, match="draws per row"):
+        q.bootstrap_sample(df, 0.0, keys=["k"])
+
+
+def test_scattered_buckets_are_a_permutation(spark):
+    """Rounds that can be undone: different residues never meet."""
+    df = spark.range(30_000).withColumn("k", F.col("id") * 71)
+    placed = scattered_bucket(df, [F.col("k")], "b", 9)
+    assert placed.select("b").distinct().count() == 30_000
+    assert placed.where(f"b < 0 OR b >= {MODULUS**2}").count() == 0
