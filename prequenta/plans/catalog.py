@@ -432,9 +432,9 @@ def query_offline_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _optimum_query(reg_param: float) -> str:
     parts = (O.ITEMS_SQL, O.points_sql("pts", "items"), O.optimum_sql("best", "pts", reg_param))
-    ks = f"unnest(range(1, {N_FEATURES + 1})) AS k"
-    return O.with_sql(*parts, f"listed AS (SELECT {ks}, unnest(w) AS weight FROM best)", recursive=True) + (
-        " SELECT 'lbfgs' AS model, k, round(weight, 4) + 0.0 AS weight, weight = 0 AS idle, 0.0::DOUBLE AS residual FROM listed"
+    residual = "CASE WHEN weight = 0 THEN greatest(abs(slope) - bound, 0) ELSE abs(slope + sign(weight) * bound) END"
+    return O.with_sql(*parts, recursive=True) + (
+        f" SELECT 'lbfgs' AS model, k, round(weight, 4) + 0.0 AS weight, weight = 0 AS idle, round({residual}, 5) + 0.0 AS residual FROM best_listed"
     )
 
 

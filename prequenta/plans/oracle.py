@@ -120,26 +120,33 @@ def prequential_sql(name: str, points: str, start: str, settings: SgdSettings) -
     {name} AS (SELECT model, batch_id, w FROM {name}_steps WHERE i = 0)"""
 
 
-def optimum_sql(name: str, points: str, reg_param: float, step: float = 4.0, iterations: int = 250) -> str:
+def optimum_sql(name: str, points: str, reg_param: float, step: float = 5.0, momentum: float = 0.8, iterations: int = 160) -> str:
     """``<name>(w)``: the optimum of the mean loss with an absolute penalty on the standardised weights.
 
-    Descent with a fixed step, each followed by the shrinking step of the penalty.
+    Descent with momentum: from ``a``, a step ahead of the weights ``w``, and each step followed by the
+    shrinking step of the penalty. ``<name>_listed`` has a row per weight, with the gradient there and
+    the bound of the penalty's sub-gradient.
     """
 
     def new(k: int) -> str:
-        moved = f"(any_value(w)[{k}] - {step!r} * avg(e * x[{k}]))"
+        moved = f"(any_value(a)[{k}] - {step!r} * avg(e * x[{k}]))"
         return f"sign({moved}) * greatest(abs({moved}) - {step * reg_param!r} * any_value(s)[{k}], 0)"
 
-    spread = ", ".join(f"stddev_samp(x[{k}])" for k in range(1, N_FEATURES + 1))
+    ks = range(1, N_FEATURES + 1)
     return f"""
-    {name}_spread AS MATERIALIZED (SELECT [{spread}] AS s FROM {points}),
-    {name}_steps(i, w) AS (
-        SELECT 0, {ZEROS_SQL}
+    {name}_spread AS MATERIALIZED (SELECT [{", ".join(f"stddev_samp(x[{k}])" for k in ks)}] AS s FROM {points}),
+    {name}_steps(i, w, a) AS (
+        SELECT 0, {ZEROS_SQL}, {ZEROS_SQL}
         UNION ALL
-        SELECT i + 1, [{", ".join(new(k) for k in range(1, N_FEATURES + 1))}] FROM (
-            SELECT t.i, t.w, p.x, z.s, 1 / (1 + exp(-list_dot_product(p.x, t.w))) - p.y AS e
-            FROM {name}_steps AS t JOIN {points} AS p ON t.i < {iterations} JOIN {name}_spread AS z ON true) GROUP BY i),
-    {name} AS (SELECT arg_max(w, i) AS w FROM {name}_steps)"""
+        SELECT i + 1, v, [{", ".join(f"v[{k}] + {momentum!r} * (v[{k}] - w[{k}])" for k in ks)}] FROM (
+            SELECT i, any_value(w) AS w, [{", ".join(new(k) for k in ks)}] AS v FROM (
+                SELECT t.i, t.w, t.a, p.x, z.s, 1 / (1 + exp(-list_dot_product(p.x, t.a))) - p.y AS e
+                FROM {name}_steps AS t JOIN {points} AS p ON t.i < {iterations} JOIN {name}_spread AS z ON true) GROUP BY i)),
+    {name} AS (SELECT arg_max(w, i) AS w FROM {name}_steps),
+    {name}_slope AS (SELECT [{", ".join(f"avg(e * x[{k}])" for k in range(1, N_FEATURES + 1))}] AS g FROM (
+        SELECT p.x, 1 / (1 + exp(-list_dot_product(p.x, b.w))) - p.y AS e FROM {points} AS p JOIN {name} AS b ON true)),
+    {name}_listed AS (SELECT k, w[k] AS weight, g[k] AS slope, {reg_param!r} * s[k] AS bound
+                      FROM {name}, {name}_slope, {name}_spread, range(1, {N_FEATURES + 1}) AS r(k))"""
 
 
 def points_sql(name: str, source: str, columns: str = "", where: str = "true", constant: bool = False) -> str:
