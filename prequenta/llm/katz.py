@@ -10,8 +10,8 @@ and alpha(h) makes each history sum to exactly 1: alpha(h) = (1 - seen mass of h
 words seen after h). A history of which no count is discounted is given one more occurrence, so
 that it too leaves mass. The first history of a text is a start mark; every text ends in an end token.
 
-Pass 1 counts words. The ``HEAD_WORDS`` most frequent get short codes and are broadcast with their
-counts (the bound is the parameter); all other words go by 63-bit hash. Pass 2 packs the bigram
+Pass 1 counts words. The most frequent, at most ``HEAD_WORDS``, get short codes and are broadcast with
+their counts (the bound is the parameter); all other words go by 63-bit hash. Pass 2 packs the bigram
 occurrences of a block of texts per bucket of histories and ships them once. A bucket then holds
 all occurrences of its bigrams, so it yields the counts (the model table, partitioned by bucket),
 the parts of alpha, and for every text the sums that need no further lookup: counts of counts and
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prequenta.llm.common import bucket_of, table, written
+from prequenta.llm.common import bucket_of, drop_written, table, written
 
 FOLDS = 7
 HELD_OUT = 2
@@ -368,6 +368,19 @@ def _listed(n_of: int):
     return run
 
 
+def _head_words(words: DataFrame) -> DataFrame:
+    """The words of the highest counts, at most ``HEAD_WORDS``: from how many words have counts of the same 64th of a factor of two."""
+    level = F.floor(F.log2("c") * 64)
+    real = words.where(F.col("w") != END)
+    cut, places = None, HEAD_WORDS
+    for row in real.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # 64 * 63 rows at most
+        places -= row["n"]
+        if places < 0:
+            break
+        cut = row["level"]
+    return real.where(F.lit(False) if cut is None else level >= cut)
+
+
 def score_texts(docs: DataFrame, train: Column, text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text."""
     spark, k = docs.sparkSession, MAX_DISCOUNTED
@@ -379,7 +392,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text") -> DataFrame
     ).first()
     total, vocabulary = stats["total"] or 0, stats["v"]
     d1 = discounts([0, *[stats[f"n{r}"] for r in range(1, k + 2)]])
-    top = words.where(F.col("w") != END).orderBy(F.desc("c"), "w").limit(HEAD_WORDS).toPandas()
+    top = _head_words(words).toPandas().sort_values(["c", "w"], ascending=[False, True])
     n_buckets = max(1, -(-total // BUCKET_TOKENS))
     shared = Head(top["w"].tolist(), top["c"].tolist(), stats["texts"] or 0, n_buckets, total, vocabulary, d1)
     head = spark.sparkContext.broadcast(shared)
@@ -435,12 +448,18 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text") -> DataFrame
     undiscounted = sums.where(no_low & (F.col("s1") == 0)).select("history", "s0")
     raised = spread.groupBy("block", "doc", "history").agg(F.count("*").alias("n")).join(undiscounted, "history")
     raised = raised.groupBy("block", "doc").agg(F.sum(-F.col("n") * F.log10((F.col("s0") + 1) / F.col("s0"))).alias("part"))
+    # One after the other, so that Python workers of several stages never share an executor.
     backed = by_history.unionByName(by_word).unionByName(raised).groupBy("block", "doc").agg(F.sum("part").alias("part"))
-
+    backed = written(backed, "katz-unseen")
     per_text = reduced.where("kind = 0").groupBy("block").applyInArrow(_texts(d, head), "block long, doc int, known long, base double, sum double")
+    per_text = written(per_text, "katz-texts")
+    for used in (words, reduced, alpha):
+        drop_written(used)
     listed = rows.select("doc_id", "text", "train").mapInArrow(
         _listed(BLOCK_TOKENS), rows.select("doc_id", F.lit(0).cast("long").alias("block"), F.lit(0).alias("doc"), F.lit(0).cast("long").alias("n_tokens"), "train").schema
     )
+    listed = written(listed, "katz-rows")
+    head.destroy()
     ends = float(np.log10((shared.count[END] + 1) / (total + vocabulary + 1)))
     known_end = int(shared.count[END] > 0)
     return (
