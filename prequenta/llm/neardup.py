@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prequenta.llm.common import drop_written, table, written
@@ -174,12 +174,13 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(start, SLICE),
+                    batch.column(2).slice(start, SLICE),
                     pa.array([_digest(w) for w in words], pa.binary()),
                     pa.array(list(map(len, found)), pa.int64()),
                     pa.array([signatures(f).view(np.int64) for f in found], pa.list_(pa.int64())),
                     pa.array(list(map(parity, found)), pa.binary()),
                 ],
-                ["doc_id", "node", "size", "bands", "parity"],
+                ["doc_id", "mark", "node", "size", "bands", "parity"],
             )
 
 
@@ -205,7 +206,7 @@ def _verify(threshold: float):
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, same) of the pairs of nodes; only texts that a pair needs are moved."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    texts = needed.select("node", "doc_id").join(docs, "doc_id").groupBy("node").agg(F.min("text").alias("text"))
+    texts = needed.select("node", "doc_id", "mark").join(docs, ["doc_id", "mark"]).groupBy("node").agg(F.min("text").alias("text"))
     texts = written(texts, "neardup-texts")
     both = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
@@ -311,20 +312,28 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(label_a != label_b).drop("_a", "_b")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size): one row per row of docs with an id; a class is named by its smallest id."""
-    docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    sketch = "node binary, size long, bands array<bigint>, parity binary"
+def _marked(docs: DataFrame, text: str) -> Column:
+    """A hash of the text: rows that share an id are told apart by it."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _classes(docs: DataFrame, threshold: float, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, node), and per node (label, class_id, class_size, doc_id, mark); id and mark stand for the node's text."""
+    mark = _marked(docs, text).alias("mark")
+    docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), mark).where("doc_id IS NOT NULL")
+    sketch = "mark long, node binary, size long, bands array<bigint>, parity binary"
     rows = written(docs.mapInArrow(_sketches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {sketch}"), "neardup-sketches")
     first = [F.first(c).alias(c) for c in ("size", "bands", "parity")]
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *first), "neardup-nodes")
+    own = F.min(F.struct("doc_id", "mark")).alias("own")
+    nodes = rows.groupBy("node").agg(own, F.count("*").alias("n"), *first)
+    nodes = written(nodes.select("node", "own.*", "n", "size", "bands", "parity"), "neardup-nodes")
     places = nodes.select("node", F.explode("bands").alias("bucket"))
     crowds = places.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
     members = written(places.join(crowds, "bucket"), "neardup-members")
     degrees = members.groupBy("node").agg(F.sum("crowd").alias("degree"))
     hubs = members.join(degrees, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub"))
     spokes = written(members.join(hubs, "bucket").where("node != hub.node").select("bucket", "node", "hub"), "neardup-spokes")
-    ids = nodes.select("node", "doc_id")
+    ids = nodes.select("node", "doc_id", "mark")
 
     # At first each text only meets the greatest of its hubs, then those of other classes.
     pairs = spokes.groupBy(F.col("node").alias("a")).agg(F.max("hub").alias("hub")).select("a", F.col("hub.node").alias("b"))
@@ -342,19 +351,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "
     tested = tested.unionByName(_verified(untested, ids, docs, threshold))
     labels = components(tested.where("same"))
 
-    labelled = nodes.select("node", "doc_id", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = nodes.select("node", "doc_id", "mark", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    named = labelled.join(classes, "label").select("node", "class_id", "class_size")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
+    return rows.select("doc_id", "mark", "node"), labelled.join(classes, "label").drop("n")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """(doc_id, class_id, class_size): one row per row of docs with an id; a class is named by its smallest id.
+
+    Rows that share an id are told apart by their texts, and each gets the class of its text.
+    """
+    rows, named = _classes(docs, threshold, text)
+    return rows.select("doc_id", "node").join(named.select("node", "class_id", "class_size"), "node").select("doc_id", "class_id", "class_size")
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs with one row of each class: the one with the smallest id. Rows without an id stay."""
-    classes = near_duplicates(docs, threshold, text)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
+    """docs with one row of each class: the one with the smallest id, and of its texts one. Rows without an id stay."""
+    _, named = _classes(docs, threshold, text)
+    kept = named.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("kept")).select("kept.doc_id", F.col("kept.mark").alias("_mark"))
     rest = docs.where("doc_id IS NULL")
-    once = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(rest)
+    once = docs.withColumn("_mark", _marked(docs, text)).join(kept, ["doc_id", "_mark"], "left_semi")
+    return once.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns).unionByName(rest)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
