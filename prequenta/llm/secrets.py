@@ -13,8 +13,9 @@ on (text, position bucket):
 All positions are code points, end exclusive. Everything is column expressions and joins.
 
 Edge cases: a NULL text counts as empty and has no spans; repeated rows are all reported (links
-are joined by the hash of the text, so copies share them); other columns pass through untouched;
-an empty table gives an empty result.
+are joined by the hash of the text, so copies share them); other columns pass through untouched, but
+``find_secrets`` puts its results in the place of columns with their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -142,28 +143,30 @@ def links(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     )
 
 
-def find_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """docs with ``base_spans`` and ``spans`` (base and linked): arrays of (start, kind, end) by place.
+def find_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE, spans: str = "spans", base: str = "base_spans") -> DataFrame:
+    """docs with ``base`` and ``spans`` (base and linked): arrays of (start, kind, end) by place.
 
-    ``kind`` is an index into ``KINDS``. Rows without a candidate never leave their partition.
+    ``kind`` is an index into ``KINDS``. Rows without a candidate never leave their partition. The
+    results take the place of columns with their names.
     """
+    docs = docs.drop(spans, base)
     frame = _scanned(docs, text).withColumn("_key", _key(docs, text))
-    alone = frame.where("_key IS NULL").withColumn("spans", F.col("_base"))
+    alone = frame.where("_key IS NULL").withColumn(spans, F.col("_base"))
     joined = (
         frame.where("_key IS NOT NULL")
         .join(links(docs, text, scope), "_key", "left")
         .withColumn(
-            "spans",
+            spans,
             F.array_sort(F.concat("_base", F.coalesce("_linked", F.array().cast(f"array<{SPAN}>")))),
         )
         .drop("_linked")
     )
-    return alone.unionByName(joined).withColumnRenamed("_base", "base_spans").drop("_weak", "_key")
+    return alone.unionByName(joined).withColumnRenamed("_base", base).drop("_weak", "_key")
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """docs with every span of the text replaced by ``mask``; overlapping spans share one mask."""
-    found = find_secrets(docs, text, scope)
+    """docs with every span of the text replaced by ``mask``; overlapping spans share one mask. Other columns stay as they are."""
+    found = find_secrets(docs, text, scope, "_spans", "_base_spans")
     body = F.col(text)
 
     def step(acc, x):
@@ -174,12 +177,12 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", scope: i
         )
 
     masked = F.aggregate(
-        F.col("spans"),
+        F.col("_spans"),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         step,
         lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))),
     )
-    return found.withColumn(text, F.when(F.size("spans") > 0, masked).otherwise(body)).drop("spans", "base_spans")
+    return found.withColumn(text, F.when(F.size("_spans") > 0, masked).otherwise(body)).drop("_spans", "_base_spans")
 
 
 def _listed(spans: Column) -> Column:
