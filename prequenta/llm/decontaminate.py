@@ -18,6 +18,11 @@ The figures are those of the alignment with most windows, and then the highest c
 So a question with other numbers or names is found, and texts that merely share a form are not.
 Windows with less than ``MIN_LITERALS`` words are too general to count.
 
+Items of at most ``SHORT`` tokens have no window to spare, and where they are mostly numbers and names
+none that counts. They are besides matched literally, as a whole: words in lower case and numbers as they
+stand, signs aside. An item of less than ``MIN_LITERALS`` tokens only matches a document that holds
+nothing else.
+
 Edge cases: NULL or empty texts and items without words match nothing; repeated rows of an id count
 as one document; equal items are all reported; an empty table on either side gives an empty result;
 other columns are ignored (and pass through ``decontaminated``).
@@ -40,6 +45,8 @@ from prequenta.llm.common import table, written
 
 WINDOW = 8
 MIN_LITERALS = 3
+SHORT = WINDOW + 1
+LITERAL = np.uint64(0x5DEECE66D1CE4E5B)  # tells hashes of literal windows from others
 MIN_COVERAGE = 0.6
 MIN_CONSISTENCY = 0.9
 MAX_BITS = 28  # of the bitmap: 32 MB
@@ -103,6 +110,37 @@ def templates(texts: list[str | None], memo: Tokens) -> tuple[np.ndarray, np.nda
     return code[at], at, tokens, owner[at]
 
 
+class Literals(dict):
+    """Token -> code of the token as it stands, in lower case; 0 for breaks."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[token] = value = (xxhash.xxh3_64_intdigest(token.lower()) >> 4) | 8 if token[0].isalnum() else 0
+        return value
+
+
+def literals(texts: list[str | None], memo: Literals) -> tuple[np.ndarray, np.ndarray]:
+    """Literal codes of all texts in a row, each text followed by DOCUMENT, and the number of the text per code."""
+    found = [[memo[t] for t in TOKEN(text or "")] + [DOCUMENT] for text in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    code = np.array([c for f in found for c in f], np.int64)
+    return code[code > 0], owner[code > 0]
+
+
+def literal_matches(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the literal windows of ``size`` tokens, and where they begin; short ones only where they are a whole text."""
+    value, words = hashes(code, size)
+    whole = words == size
+    if size < MIN_LITERALS and len(whole):
+        opens, closes = np.ones(len(whole), bool), np.zeros(len(whole), bool)
+        opens[1:] = code[: len(whole) - 1] == DOCUMENT
+        closes[: len(code) - size] = code[size:] == DOCUMENT
+        whole &= opens & closes
+    at = np.flatnonzero(whole)
+    return value[at] ^ LITERAL, at
+
+
 def hashes(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and number of words of each window of ``size`` codes; windows over a text's end have -1 words."""
     n = len(code) - size + 1
@@ -178,13 +216,17 @@ def alignment(
 
 
 def _items(items: DataFrame, window: int) -> DataFrame:
-    """(item, size, hash, place, slots) of the windows of each item."""
+    """(item, size, hash, place, slots) of the windows of each item; the literal window of a short item has minus its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Tokens()
+        memo, plain = Tokens(), Literals()
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                code, _ = literals([text], plain)
+                if 1 < len(code) <= SHORT + 1:
+                    value, _ = literal_matches(code, len(code) - 1)
+                    rows.append((item, 1 - len(code), value[0], 0, []))
                 code, at, tokens, _ = templates([text], memo)
                 size = min(window, len(code) - 1)
                 if size < MIN_LITERALS:
@@ -235,13 +277,19 @@ def leaks(
     """(doc_id, item_id, n_windows, n_matched, coverage, consistency) of the contaminated pairs."""
     spark = docs.sparkSession
     windows = _items(items.select(F.col("item_id").cast("long"), F.col("text")), window).persist()
-    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
+    every = sorted(r["size"] for r in windows.select("size").distinct().collect())  # WINDOW + SHORT at most
+    sizes, short = [s for s in every if s > 0], [-s for s in every if s < 0]
     packed, bits = _bitmap(windows)
     shared = spark.sparkContext.broadcast(packed)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, map_ = Tokens(), shared.value
+        memo, plain, map_ = Tokens(), Literals(), shared.value
         shift = np.uint64(64 - bits)
+
+        def hits(value: np.ndarray) -> np.ndarray:
+            bit = (value >> shift).astype(np.int64)
+            return ((map_[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1) > 0
+
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 ids = batch.column(0).slice(start, 128).to_pylist()
@@ -250,10 +298,14 @@ def leaks(
                 first = np.searchsorted(owner, np.arange(len(ids)))
                 for size in sizes:
                     value, words = hashes(code, size)
-                    bit = (value >> shift).astype(np.int64)
-                    hit = (map_[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
-                    for i in np.flatnonzero((hit > 0) & (words >= MIN_LITERALS)):
+                    for i in np.flatnonzero(hits(value) & (words >= MIN_LITERALS)):
                         rows.append((ids[owner[i]], int(value[i]), int(i - first[owner[i]]), _slots(code, at, tokens, i, size)))
+                if short:
+                    code, owner = literals(batch.column(1).slice(start, 128).to_pylist(), plain)
+                    for size in short:
+                        value, at = literal_matches(code, size)
+                        for i in np.flatnonzero(hits(value)):
+                            rows.append((ids[owner[at[i]]], int(value[i]), -1, []))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int64()),
@@ -266,9 +318,10 @@ def leaks(
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col(text)).where("doc_id IS NOT NULL")
     found = written(texts.mapInArrow(search, WINDOWS), "leaks-found")
+    whole, windows = windows.where("size < 0"), windows.where("size > 0")
     total = windows.groupBy("item").agg(F.countDistinct("hash").alias("n_windows"))
     # Repeated rows of an id count as one document.
-    met = found.join(windows.select("item", "hash").distinct(), "hash").select("id", "item", "hash", "place", "slots").distinct()
+    met = found.where("place >= 0").join(windows.select("item", "hash").distinct(), "hash").select("id", "item", "hash", "place", "slots").distinct()
     covered = (
         met.groupBy("id", "item")
         .agg(F.countDistinct("hash").alias("n"), F.collect_list(F.struct("hash", "place", "slots")).alias("met"))
@@ -289,7 +342,15 @@ def leaks(
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], LEAKS.replace(",", "").split()[::2])
 
-    return covered.join(asked, "item").select("id", "item", "n_windows", "met", "asked").mapInArrow(align, LEAKS)
+    aligned = covered.join(asked, "item").select("id", "item", "n_windows", "met", "asked").mapInArrow(align, LEAKS)
+    if not short:
+        return aligned
+    # A literal copy counts as one window that is met, unless the item's windows are met besides.
+    copies = found.where("place < 0").join(whole.select("item", "hash"), "hash").select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+    one = F.lit(1).cast("long")
+    literal = copies.select("doc_id", "item_id", one.alias("n_windows"), one.alias("n_matched"), F.lit(1.0).alias("coverage"), F.lit(1.0).alias("consistency"))
+    best = F.max_by(F.struct("n_windows", "n_matched", "coverage", "consistency"), F.struct("n_matched", "n_windows"))
+    return aligned.unionByName(literal).groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
