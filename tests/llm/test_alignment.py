@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -88,6 +89,17 @@ def test_alignment_of_no_rows_and_of_rows_without_ids(spark, odd_docs, no_docs):
     assert crosstoken.align(odd_docs.where(F.col("text").isNull()), *FILES).first()["groups_sha256"] == ""
 
 
+def test_ids_of_a_are_those_of_its_library():
+    """Random texts around the border up to which ranks are used, and long words on both sides of the length."""
+    both = crosstoken.Tokenizers(*FILES)
+    rng = np.random.default_rng(3)
+    early = [chr(c) for c in range(1, 0x180)] + [" ", "\n", "'s", "'ll", "the", "12"] * 20
+    texts = ["".join(rng.choice(early, int(rng.integers(1, 80))).tolist()) for _ in range(1500)]
+    texts += ["x" * 99_000, "x" * 100_000, " " * 3000 + "a", "<|endoftext|>", "\u0180 \u2019 \u4e2d", "ab" * 3000 + "\x1c\x85\xa0"]
+    for t in texts:
+        assert both.ids_of_a(t) == both.a.encode(t, add_special_tokens=False).ids, repr(t[:80])
+
+
 def test_each_text_is_aligned_once(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"text {i % 3}") for i in range(300)], "doc_id long, text string")
     blocks = []

@@ -217,8 +217,44 @@ def test_bpe_equals_the_library(spark, sf_dir, docs, odd_docs):
         ids = library.encode(t, add_special_tokens=False).ids
         got = own.text(t)
         assert got[1].decode() == " ".join(map(str, ids)) and got[2].decode() == library.decode(ids, skip_special_tokens=False)
-    for row in bpe.op7_bpe_roundtrip(spark, sf_dir).collect():
-        assert row["ids_sha256"] == hashlib.sha256(own.text(docs[row["doc_id"]])[1]).hexdigest()
+    rows = bpe.op7_bpe_roundtrip(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for row in rows:
+        ids = library.encode(docs[row["doc_id"]], add_special_tokens=False).ids
+        assert row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_of_random_texts_equals_the_library():
+    """Characters around every border the cutting knows: signs, white space of all kinds, letters and numbers up to U+017F."""
+    library, own = bpe.Tokenizer.from_file(bpe.tokenizer_file()), bpe.WordBpe(bpe.tokenizer_file())
+    rng = np.random.default_rng(6)
+    early = [chr(c) for c in range(1, 0x180)]
+    late = early + list("\u2019\u2003\u0301\u0130\u4e2d\u03a3\u212b\ufb01\u3000") + ["'s", "'LL", "don't", "<|endoftext|>"]
+    for k in range(600):
+        t = "".join(rng.choice(early if k % 2 else late, int(rng.integers(1, 60))).tolist())
+        ids = library.encode(t, add_special_tokens=False).ids
+        got = own.text(t)
+        assert got[1].decode() == " ".join(map(str, ids)), repr(t)
+        assert got[2].decode() == library.decode(ids, skip_special_tokens=False), repr(t)
+
+
+@pytest.mark.parametrize("pieces, memo", [(0, 3), (7, 1), (100_000, 10)])
+def test_bpe_does_not_depend_on_lexicon_sample_and_memo(spark, odd_docs, monkeypatch, pieces, memo):
+    monkeypatch.setattr(bpe, "MEMO_WORDS", memo)
+    monkeypatch.setattr(bpe, "SAMPLE_TEXTS", 4)
+    lexicon = bpe.build_lexicon(odd_docs, bpe.tokenizer_file(), pieces)
+    mine = bpe.WordBpe(bpe.tokenizer_file(), lexicon)
+    plain = bpe.WordBpe(bpe.tokenizer_file())
+    for r in odd_docs.collect():
+        assert mine.text(r["text"] or "") == plain.text(r["text"] or "")
+
+
+def test_frequent_pieces_take_no_more_than_their_places(spark):
+    docs = spark.createDataFrame([("a a a b b c c d",), ("a, b",), (None,)], "text string")
+    for n, want in ((0, set()), (1, {b"a"}), (2, {b"a", b"b"}), (3, {b"a", b"b"} | {b"c"}), (9, {b"a", b"b", b"c", b"d", b","})):
+        assert {bytes(r["piece"]) for r in bpe.frequent_pieces(docs, bpe.tokenizer_file(), n).collect()} == want
 
 
 def test_lexicon_holds_its_words_and_shares_suffixes():
@@ -319,8 +355,8 @@ OPERATORS = {
     "near": lambda s, d: neardup.near_duplicates(d),
     "toxic": lambda s, d: toxicity.score(d, toxicity.fit(d, s.createDataFrame([(1, 1), (None, 0), (3, None)], "doc_id long, toxic int"))),
     "repeats": lambda s, d: suffixes.remove_repeats(d),
-    "secrets": lambda s, d: secrets.find_secrets(d.drop("spans")),
-    "redact": lambda s, d: secrets.redact(d.drop("spans")),
+    "secrets": lambda s, d: secrets.find_secrets(d),
+    "redact": lambda s, d: secrets.redact(d),
     "bpe": lambda s, d: bpe.encode_decode(d),
     "leaks": lambda s, d: decontaminate.decontaminated(d, s.createDataFrame([(1, None), (2, ""), (None, "a b c d")], "item_id long, text string")),
 }
@@ -333,6 +369,59 @@ def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs, name):
     assert OPERATORS[name](spark, no_docs).count() == 0
 
 
+def test_columns_named_as_the_results_stay_in_the_pipeline(spark, odd_docs):
+    masked = secrets.redact(odd_docs.withColumn("text", F.lit("password = abcdef1")))
+    assert masked.columns == odd_docs.columns
+    assert {(r["text"], r["spans"]) for r in masked.collect() if r["spans"]} == {("[SECRET]", "x")}
+    found = secrets.find_secrets(odd_docs)
+    assert sorted(found.columns) == sorted([*odd_docs.columns, "base_spans"]) and dict(found.dtypes)["spans"].startswith("array")
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    base, other = "a long enough text about one thing and some more words to it", "quite another text about other things that nobody else has"
+    docs = spark.createDataFrame([(1, base, "x"), (1, other, "y"), (2, base, "z"), (3, other + " at all", "w")], "doc_id long, text string, _m string")
+    assert sorted((r["doc_id"], r["text"]) for r in neardup.deduplicated(docs).collect()) == [(1, base), (1, other), (3, other + " at all")]
+    sizes = sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.near_duplicates(docs).collect())
+    assert sizes == [(1, 1, 1), (1, 1, 2), (2, 1, 2), (3, 3, 1)]
+
+
+SHORT_ITEMS = ["What is 17 * 24?", "Who is Albert Einstein?", "What was the name of the old mill?", "Yes", "the end", "", "12 13 14 15"]
+
+
+def test_short_items_are_found_literally(spark):
+    items = spark.createDataFrame(list(enumerate(SHORT_ITEMS)), "item_id long, text string")
+    texts = [
+        "What is 17 * 24?",
+        "so they said: who is albert einstein, and nobody knew",
+        'He asked "What was the name of the old mill?" and went on.',
+        "What is 17 * 25? Yes, it is the end.",
+        "yes!",
+        "The End",
+        None,
+        "12, 13 14 15 16",
+        "was the name of the old mill",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {(0, 0), (1, 1), (2, 2), (4, 3), (5, 4), (7, 6)}
+
+
+def test_literal_items_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words = ["a", "B", "c", "7", "9"]
+    items = [" ".join(rng.choice(words, int(rng.integers(1, 5))).tolist()) for _ in range(30)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 12))).tolist()) for _ in range(60)]
+    expected = set()
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            a, b = t.lower().split(), item.lower().split()
+            if a == b if len(b) < 3 else any(a[k : k + len(b)] == b for k in range(len(a))):
+                expected.add((i, j))
+    frames = [spark.createDataFrame(list(enumerate(x)), f"{name} long, text string") for x, name in ((texts, "doc_id"), (items, "item_id"))]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(*frames).collect()}
+    assert expected <= found and {p for p in found - expected if "7" not in items[p[1]] and "9" not in items[p[1]] and "B" not in items[p[1]]} == set()
+
+
 def test_pipeline(spark, sf_dir, docs):
     frame = table(spark, sf_dir, "documents")
     kept = frame
