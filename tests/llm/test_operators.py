@@ -295,6 +295,51 @@ def test_hints_weigh_but_drop_nothing():
     assert text(f'<body><div class="text"><p>{long}</p><div class="ad">buy</div><div role="navigation">to</div></div></body>') == a
 
 
+LONG = "a long sentence of the article, " * 9
+MARKUP = {
+    "wrapped": "<body><form action='/x'><div class='page'>{}</div><input name='a'></form></body>",
+    "article": "<body><article>{}</article></body>",
+    "body": "<body><div class='content'>{}</div></body>",
+}
+ASIDES = [
+    *[f'<div class="{c}"><p>aside</p></div>' for c in ("comment", "commentlist", "user-comments", "cookie", "notice", "ad-300x250", "promo-box", "ad", "disqus_thread")],
+    *[f'<section id="{i}"><p>aside</p></section>' for i in ("comments", "disqus_thread", "sidebar", "footer")],
+    '<form><label>aside</label><input></form>',
+    '<div role="dialog">aside</div>',
+]
+
+
+@pytest.mark.parametrize("kind", MARKUP)
+def test_articles_alone_on_generated_pages(kind):
+    """Every aside before, within and after the paragraphs, in every frame: the paragraphs alone are left."""
+    for aside in [*ASIDES, "".join(ASIDES)]:
+        source = MARKUP[kind].format(f"{aside}<h1>Title</h1><p>{LONG}</p>{aside}<p>second &lt;one&gt;</p>{aside}")
+        page = html.Page(source)
+        assert page.text(page.best()[0]) == f"Title\n{LONG.strip()}\nsecond <one>", aside
+
+
+def test_hosts_vote_on_hinted_elements_below_the_article(spark):
+    """What half of the pages have below the article is dropped on all; a heading's slug on one page is not."""
+    frame = '<body><article><p>{}</p><div class="reader-replies"><p>reply {}</p></div>{}</article></body>'
+    slug = '<section id="cookie-recipes"><h2>Cookies</h2><p>how to bake</p></section>'
+    rows = [(i, "http://h.example/x", frame.format(LONG, i, slug if i == 0 else "")) for i in range(4)]
+    rows += [(9, "http://other.example/x", frame.format(LONG, 9, ""))]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[0] == f"{LONG.strip()}\nCookies\nhow to bake" and got[1] == got[2] == got[3] == LONG.strip()
+    assert got[9] == f"{LONG.strip()}\nreply 9"  # one page alone decides nothing
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_both_ways_of_joining_hosts_give_the_same(spark, sf_dir, monkeypatch, most):
+    monkeypatch.setattr(html, "BROADCAST_HOSTS", most)
+    rows = html.op8_main_text(spark, sf_dir).collect()
+    pages = {r["page_id"]: r["html"] for r in table(spark, sf_dir, "pages").collect()}
+    assert len(rows) == len(pages)
+    for r in rows:
+        page = html.Page(pages[r["page_id"]])
+        assert r["text"] == page.text(page.best()[0]) and r["n_chars"] == len(r["text"])
+
+
 def test_hosts_outvote_a_page(spark):
     usual = '<div class="story"><p>{}</p></div><div class="extra"><p>more</p></div>'
     odd = '<div class="story"><p>short</p></div><div class="extra"><p>much longer than the story of this page</p></div>'
