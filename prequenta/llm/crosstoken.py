@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prequenta.llm.common import table, written
+from prequenta.llm.common import drop_written, table, written
 
 BLOCK_BYTES = 2_000_000
 LIBRARY_CHARS = 100_000  # texts from which on A's library encodes, whose time grows least with the length of a word
@@ -74,8 +74,9 @@ class Tokenizers:
         self.a.no_truncation()
         self.a.no_padding()
         alphabet = byte_alphabet()
-        self.a_bytes = {}
-        for entry, i in self.a.get_vocab(with_added_tokens=True).items():
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for entry, i in vocabulary.items():
             known = all(c in alphabet for c in entry)
             self.a_bytes[i] = bytes(alphabet[c] for c in entry) if known else entry.encode()
         special = {t.content for t in self.a.get_added_tokens_decoder().values()}
@@ -83,10 +84,11 @@ class Tokenizers:
         self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         self.b_bytes = [self._piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
-        for i, data in self.a_bytes.items():
-            sizes[i] = len(data)
+        sizes = np.array([len(p) for p in self.a_bytes], np.int64)
         self.a_sizes, self.b_sizes = sizes, np.array([len(p) for p in self.b_bytes], np.int64)
+        # Decimal ids with what may follow them: of A within and at the end of a group, of B likewise.
+        n, m = len(sizes), len(self.b_bytes)
+        self.written = [f"{i}{end}" for many, end in ((n, ","), (n, "|"), (m, ","), (m, ";")) for i in range(many)]
 
     @staticmethod
     def _piece(piece: str) -> bytes:
@@ -103,12 +105,24 @@ class Tokenizers:
         of_b = self.b.encode(texts, num_threads=1)
         for text, b in zip(texts, of_b, strict=True):
             a, whole = self.ids_of_a(" " + text), b" " + text.encode()
-            if not text or b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
+            if not text or b"".join(map(self.b_bytes.__getitem__, b)) != whole or b"".join(map(self.a_bytes.__getitem__, a)) != whole:
                 yield None
                 continue
             a, b = np.array(a, np.int64), np.array(b, np.int64)
-            _, at_a, at_b = np.intersect1d(self.a_sizes[a].cumsum(), self.b_sizes[b].cumsum(), assume_unique=True, return_indices=True)
-            yield a, b, at_a, at_b
+            ends_a, ends_b = self.a_sizes[a].cumsum(), self.b_sizes[b].cumsum()
+            place = ends_a.searchsorted(ends_b)  # both end with the text, so there is always a place
+            at_b = np.flatnonzero(ends_a[place] == ends_b)
+            yield a, b, place[at_b], at_b
+
+    def groups(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the ids of A and B between two cuts."""
+        n, m = len(self.a_sizes), len(self.b_sizes)
+        a, b = a.copy(), b + 2 * n
+        group_a, group_b = at_a.searchsorted(np.arange(len(a))), at_b.searchsorted(np.arange(len(b)))
+        a[at_a] += n
+        b[at_b] += m
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        return "".join(map(self.written.__getitem__, np.concatenate([a, b])[order].tolist()))[:-1]
 
 
 @lru_cache(maxsize=1)
@@ -116,19 +130,6 @@ def tokenizers(a_file: str, b_file: str) -> Tokenizers:
     return Tokenizers(a_file, b_file)
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of A and B between two cuts."""
-
-    def cut(ids: np.ndarray, ends: np.ndarray) -> list[str]:
-        names, start, parts = [str(i) for i in ids.tolist()], 0, []
-        for end in (ends + 1).tolist():
-            parts.append(names[start] if end == start + 1 else ",".join(names[start:end]))
-            start = end
-        return parts
-
-    return ";".join(f"{x}|{y}" for x, y in zip(cut(a, at_a), cut(b, at_b), strict=True))
-
-
 def _in_blocks(a_file: str, b_file: str):
     """Distinct texts to rows of ``BLOCK``."""
 
@@ -161,7 +162,7 @@ def _in_blocks(a_file: str, b_file: str):
                     if found is None:
                         continue
                     a, b, at_a, at_b = found
-                    texts.append({"digest": digest, "n_a": len(a), "n_b": len(b), "n_links": len(at_a), "groups": hashlib.sha256(groups_text(*found).encode()).hexdigest()})
+                    texts.append({"digest": digest, "n_a": len(a), "n_b": len(b), "n_links": len(at_a), "groups": hashlib.sha256(both.groups(*found).encode()).hexdigest()})
                     links.append(a[at_a] << 32 | b[at_b])
                     copies.append(n)
                     size += len(text)
@@ -223,14 +224,17 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_column: str = "doc_id",
     distinct = source.where("length(text) > 0").groupBy("text").agg(F.count("*").alias("n"))
     distinct = distinct.select(digest.alias("digest"), "n", "text")
     blocks = written(distinct.mapInArrow(_in_blocks(a_file, b_file), BLOCK), "aligned-blocks")
+    counted = pair_counts(blocks)
     resolved = (
         blocks.select("block", F.explode("pairs").alias("pair"))
-        .join(pair_counts(blocks), "pair")
+        .join(counted, "pair")
         .groupBy("block")
         .agg(F.collect_list(F.struct("pair", "count", "best")).alias("counts"))  # the pairs of one block
     )
     measured = blocks.select("block", "texts", "at", "upto").join(resolved, "block").mapInArrow(_measured, MEASURED)
     measured = written(measured, "aligned-texts")
+    for used in (counted, blocks):
+        drop_written(used)
     return _to_documents(source.select("id", digest.alias("digest")), measured).withColumnRenamed("id", id_column)
 
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ HEAD_WORDS = 1 << 16
 BLOCK_TOKENS = 1 << 18
 BUCKET_TOKENS = 400_000
 MEMO_WORDS = 100_000
+TEXTS_AT_ONCE = 1_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 END, START, FIRST = 1, 2, 16  # codes; head words follow from FIRST on
 _TAIL = np.uint64(1 << 63)
@@ -381,8 +384,24 @@ def _head_words(words: DataFrame) -> DataFrame:
     return real.where(F.lit(False) if cut is None else level >= cut)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Whole texts travel to Python in batches of a few megabytes, on both sides of the pipe, while the tables are written."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(int(before), TEXTS_AT_ONCE)))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def score_texts(docs: DataFrame, train: Column, text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text."""
+    with _small_batches(docs.sparkSession):
+        return _scored(docs, train, text)
+
+
+def _scored(docs: DataFrame, train: Column, text: str) -> DataFrame:
     spark, k = docs.sparkSession, MAX_DISCOUNTED
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), train.alias("train"))
     words = written(count_words(rows.where("train").select("text")), "katz-words")
