@@ -39,7 +39,7 @@ HEADLINE = (
 )
 
 TIMES = 3
-ONCE_FROM = 12.0  # seconds
+ONCE_FROM = 8.0  # seconds
 
 
 def main() -> None:
