@@ -47,6 +47,8 @@ BLOCK_TOKENS = 1 << 18
 BUCKET_TOKENS = 400_000
 MEMO_WORDS = 100_000
 TEXTS_AT_ONCE = 1_000
+COUNT_BITS = 20  # of a packed count
+MOST = (1 << COUNT_BITS) - 1
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 END, START, FIRST = 1, 2, 16  # codes; head words follow from FIRST on
@@ -177,6 +179,19 @@ def _unpack_bucket(blob: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return h, w, times, doc, train
 
 
+def _pack_counts(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts below 2**COUNT_BITS, three rows to a long."""
+    packed = np.zeros((-(-len(counts) // 3), counts.shape[1]), np.int64)
+    for r, row in enumerate(counts):
+        packed[r // 3] |= row << (COUNT_BITS * (r % 3))
+    return packed.ravel()
+
+
+def _unpack_counts(packed: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    packed = packed.reshape(-1, columns)
+    return np.stack([packed[r // 3] >> (COUNT_BITS * (r % 3)) & ((1 << COUNT_BITS) - 1) for r in range(rows)])
+
+
 SHIPPED = "bucket int, block long, size int, blob binary"
 
 
@@ -308,8 +323,12 @@ def _reduce(head):
             known = np.bincount(doc, (word & (total[hist] > 0)), n_docs)[touched]
             base = np.bincount(doc, np.where(word, log_base[hist], 0.0), n_docs)[touched]
             logs = np.bincount(doc[ok], log_count[pair[ok]] - log_total[hist[ok]], n_docs)[touched]
-            few = [np.bincount(doc, c == r, n_docs)[touched] for r in range(1, k + 1)]
-            add(0, block, touched.astype(np.int32), n=np.concatenate(few).astype(np.int64), known=known.astype(np.int32), base=base, logs=logs)
+            few = np.stack([np.bincount(doc, c == r, n_docs)[touched] for r in range(1, k + 1)]).astype(np.int64)
+            add(0, block, touched.astype(np.int32), n=_pack_counts(np.minimum(few, MOST)), known=known.astype(np.int32), base=base, logs=logs)
+            while (few > MOST).any():  # of a text of a million words and more: the rest goes into rows of its own
+                few = np.maximum(few - MOST, 0)
+                nothing = np.zeros(len(touched))
+                add(0, block, touched.astype(np.int32), n=_pack_counts(np.minimum(few, MOST)), known=nothing.astype(np.int32), base=nothing, logs=nothing)
             # A spread history of which this bucket has no low count: its other buckets decide.
             unsure = ok & (~alone[hist]) & (low[:k].sum(0) == 0)[hist]
             if unsure.any():
@@ -341,7 +360,7 @@ def _texts(d: np.ndarray, head):
             doc = np.asarray(rows.column("doc")[i].values)
             known[doc] += np.asarray(rows.column("known")[i].values)
             base[doc] += np.asarray(rows.column("base")[i].values)
-            few = np.asarray(rows.column("n")[i].values).reshape(k, len(doc))
+            few = _unpack_counts(np.asarray(rows.column("n")[i].values), k, len(doc))
             score[doc] += np.asarray(rows.column("logs")[i].values) + log_d @ few
         block = rows.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * n_docs, pa.int64()), "doc": pa.array(np.arange(n_docs), pa.int32()), "known": known, "base": base, "sum": score})

@@ -22,8 +22,11 @@ def docs(spark, sf_dir):
     return {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").collect()}
 
 
-def test_katz_equals_brute_force(spark, sf_dir, docs, monkeypatch):
+@pytest.mark.parametrize("bits", [20, 1])
+def test_katz_equals_brute_force(spark, sf_dir, docs, monkeypatch, bits):
     monkeypatch.setattr(katz, "BUCKET_TOKENS", 5000)
+    monkeypatch.setattr(katz, "COUNT_BITS", bits)
+    monkeypatch.setattr(katz, "MOST", (1 << bits) - 1)
     words = {i: [*katz.tokens_of(t), None] for i, t in docs.items()}
     learnt = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     one = Counter(t for w in learnt for t in w)
