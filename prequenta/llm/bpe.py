@@ -1,15 +1,14 @@
 """BPE encoding and decoding with a transducer lexicon of frequent pieces.
 
 The tokenizer cuts a text at white space into words, and words into pieces (a run of letters, a
-digit, a run of signs). The ``LEXICON_PIECES`` most frequent pieces of a sample of about
-``SAMPLE_TEXTS`` texts are compiled with their ids into a minimal acyclic transducer. Its size is
-bounded by that parameter, so it is broadcast; every Python worker memory-maps it. Pieces it does
-not hold are merged exactly. Pieces met before are taken from a bounded memo, which a worker keeps
+digit, a run of signs). The ``LEXICON_PIECES`` most frequent pieces, counted over all texts, are
+compiled with their ids into a minimal acyclic transducer. Its size is bounded by that parameter,
+so it is broadcast; every Python worker memory-maps it. Pieces it does not hold are merged exactly. Pieces met before are taken from a bounded memo, which a worker keeps
 from task to task. Texts without characters beyond U+017F, on which no versions of Unicode differ,
 are cut in one go; others word by word, with the library's own tables where needed. Special tokens,
 which match anywhere, are cut out first.
 
-The lexicon only saves work: ids are the same whatever it holds, and so is the sample.
+The lexicon only saves work: ids are the same whatever it holds.
 
 Edge cases: a NULL text counts as empty and has no ids, and decodes to the empty text; repeated
 rows are all reported; an empty table gives an empty result; ``encode_decode`` leaves all other
@@ -37,7 +36,7 @@ from prequenta.llm.common import drop_written, table, written
 from prequenta.llm.lexicon import Lexicon, compile_lexicon
 
 LEXICON_PIECES = 100_000
-SAMPLE_TEXTS = 20_000
+SAMPLE_TEXTS = None  # no sample is taken any more; the name stays for code that still sets it
 MAX_PIECE = 64  # bytes; longer pieces are not worth a place in the lexicon
 MEMO_WORDS = 150_000  # words or pieces in each of two generations
 #: Letters, numbers and white space up to U+017F as classes of the split pattern.
@@ -186,40 +185,40 @@ def split_words(text: str) -> list[str]:
 
 
 def frequent_pieces(docs: DataFrame, path: str, n: int = LEXICON_PIECES, text: str = "text") -> DataFrame:
-    """(piece) of at most n rows: the pieces of the sampled texts that occur more often than the others."""
-    share = SAMPLE_TEXTS / max(docs.count(), 1)
-    some = docs.select(F.col(text))
-    some = some if share >= 1 else some.sample(share, 7)
+    """(piece) of at most n rows: the pieces that occur more often in all texts than the others do."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path, "", None)
-        counts: Counter[bytes] = Counter()
+        words: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
+            counts: Counter[bytes] = Counter()
+            for word, times in words.items():  # each different word is cut once
+                for piece in bpe.cut_word(word):
+                    counts[piece] += times
+            words.clear()
             pieces = [p for p in counts if len(p) <= MAX_PIECE]
-            out = pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array([counts[p] for p in pieces], pa.int64())], ["piece", "n"])
-            counts.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array([counts[p] for p in pieces], pa.int64())], ["piece", "n"])
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 for span in bpe.cut(value or "")[::2]:
-                    for word in split_words(span):
-                        counts.update(bpe.cut_word(word))
-                if len(counts) > MEMO_WORDS:
+                    words.update(split_words(span))
+                if len(words) > MEMO_WORDS:
                     yield flush()
         yield flush()
 
-    counted = some.mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(text)).mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     counted = written(counted, "bpe-pieces")
-    # From how often how many pieces occur: the least count whose pieces all have a place. Of a bounded sample.
+    # From how many pieces have counts of the same 64th of a factor of two (64 * 63 rows at most): the least whose pieces all have a place.
+    level = F.floor(F.log2("n") * 64)
     limit, places = None, n
-    for row in counted.groupBy("n").agg(F.count("*").alias("pieces")).orderBy(F.desc("n")).collect():
+    for row in counted.groupBy(level.alias("level")).agg(F.count("*").alias("pieces")).orderBy(F.desc("level")).collect():
         places -= row["pieces"]
         if places < 0:
             break
-        limit = row["n"]
-    return counted.where(F.lit(False) if limit is None else F.col("n") >= limit)
+        limit = row["level"]
+    return counted.where(F.lit(False) if limit is None else level >= limit)
 
 
 def build_lexicon(docs: DataFrame, path: str, n: int = LEXICON_PIECES, text: str = "text") -> bytes:

@@ -254,6 +254,14 @@ def test_bpe_does_not_depend_on_lexicon_sample_and_memo(spark, odd_docs, monkeyp
         assert mine.text(r["text"] or "") == plain.text(r["text"] or "")
 
 
+def test_frequent_pieces_are_counted_in_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "SAMPLE_TEXTS", 2)
+    words = [a + b for a in "abcdefghij" for b in "vwxyz"]
+    docs = spark.createDataFrame([(f"{w} the 7 The",) for w in words], "text string")
+    found = lambda n: {bytes(r["piece"]).decode() for r in bpe.frequent_pieces(docs, bpe.tokenizer_file(), n).collect()}
+    assert found(100) == {*words, "the", "7"} and found(10) == {"the", "7"}
+
+
 def test_frequent_pieces_take_no_more_than_their_places(spark):
     docs = spark.createDataFrame([("a a a b b c c d",), ("a, b",), (None,)], "text string")
     for n, want in ((0, set()), (1, {b"a"}), (2, {b"a", b"b"}), (3, {b"a", b"b"} | {b"c"}), (9, {b"a", b"b", b"c", b"d", b","})):
