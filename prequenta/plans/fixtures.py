@@ -31,6 +31,7 @@ PRIMES = first_primes(N_FEATURES)
 HEADER = DELIMITER.join([f"f{k}" for k in range(1, N_FEATURES + 1)] + ["label"])
 CUTOFF = 0.05
 VECTOR_FEATURES = 64  # width of the given embeddings
+ROW_GROUP_BYTES = 8 << 20
 
 ITEM_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -45,14 +46,15 @@ _written: dict[tuple[str, str, str], str] = {}
 def _as_table(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame, order: str | None = None) -> DataFrame:
     """``lines`` as a table written once per application, the way lines arrive in practice.
 
-    Rebalanced, so that the table has files of even size whatever the source had; with
-    ``order`` they are ranges of that column, so that a range is read from its own files.
+    Written as the source is read, without a shuffle; small row groups let several tasks read
+    one file. With ``order`` the files are ranges of that column, so that a range is read from
+    its own files.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
         path = shared_folder(spark, name)
-        laid_out = lines.hint("rebalance") if order is None else lines.repartitionByRange(order).sortWithinPartitions(order)
-        laid_out.write.parquet(path)
+        laid_out = lines if order is None else lines.repartitionByRange(order).sortWithinPartitions(order)
+        laid_out.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
 

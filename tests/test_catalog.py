@@ -135,3 +135,18 @@ def test_streams_leave_no_lines_behind(spark, sf_dir):
     assert counts.select("batch_id").distinct().count() == catalog.BATCHES
     shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     assert glob.glob(f"{shared}/prequenta/lines-*") == []
+
+
+def test_lines_are_written_without_a_shuffle(spark, tmp_path):
+    """The table has the files of its source, as many as a task wrote each, and the same lines."""
+    rows = [(i, 1, i, i % 3, float(i)) for i in range(40)]
+    source = spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double")
+    for part in range(4):
+        source.where(f"l_orderkey % 4 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        lines = fixtures.item_lines(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert lines.count() == 40 and len(lines.inputFiles()) == 4
