@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from prequenta.functions import cells as C
 from prequenta.model import COLD, N_FEATURES, PRETRAINED, Model, cold_model
 from prequenta.operators.evaluate import accuracy, accuracy_json, confusion_counts, confusion_pivot, counter_keys
-from prequenta.operators.fit import OFFLINE, ONLINE, SgdSettings, lbfgs_fit, optimality, sgd_fit
+from prequenta.operators.fit import OFFLINE, ONLINE, SgdSettings, held_points, lbfgs_fit, optimality, sgd_fit
 from prequenta.operators.parse import drop_header, named_rows, parse_labelled, publish_payload, split_rejects
 from prequenta.operators.report import POINTS, as_of, last_points, running_accuracy
 from prequenta.operators.score import score
@@ -439,8 +439,9 @@ def _optimum_query(reg_param: float) -> str:
 
 
 def _certified(points: DataFrame, reg_param: float) -> DataFrame:
-    model = lbfgs_fit(points, reg_param=reg_param, tol=1e-12, max_iter=500)
-    rows = optimality(points, model, reg_param)
+    with held_points(points) as held:
+        model = lbfgs_fit(held, reg_param=reg_param, tol=1e-12, max_iter=500)
+        rows = optimality(held, model, reg_param)
     weight, residual = F.round("weight", 4) + F.lit(0.0), F.round("residual", 5) + F.lit(0.0)
     return rows.select(F.lit(model.name).alias("model"), "k", weight.alias("weight"), (F.col("weight") == 0).alias("idle"), residual.alias("residual"))
 

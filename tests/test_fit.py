@@ -150,3 +150,37 @@ def test_incomplete_points_are_an_error(spark, row):
     points = spark.createDataFrame([row, (0, [1.0, 0.0, 1.0])], "label int, features array<double>")
     with pytest.raises(Exception):
         q.sgd_fit(points, [q.cold_model(n_features=3)])
+
+
+def test_points_are_held_as_bytes_without_a_shuffle(spark, data):
+    """Small whole numbers take a byte each; other numbers keep all their digits."""
+    points, x, y = data
+    with fit_module.held_points(points.repartition(3)) as held:
+        rows = held.collect()
+        assert sum(r["n"] for r in rows) == len(y) and sum(len(r["features"]) for r in rows) == x.size
+        want = descend(x, y, [0] * 3, 100, 1.0, 0.01, 0.001)
+        assert np.allclose(q.sgd_fit(held, [q.cold_model(n_features=3)])["cold"].weights, want, atol=1e-9)
+        best = q.lbfgs_fit(held, tol=1e-12)
+        assert max(r["residual"] for r in q.optimality(held, best).collect()) < 1e-6
+    for value in (0.5, 0.1, 128.0, float("inf"), -129.0):
+        assert fit_module._narrow(np.array([[value, 1.0]])).tolist() == [[value, 1.0]]
+
+
+@pytest.mark.parametrize("reg_type, fraction", [("l1", 1.0), (None, 1.0), ("l2", 0.5)])
+def test_penalties_and_mini_batches(data, reg_type, fraction):
+    points, x, y = data
+    rule = SgdSettings(5, 1.0, 0.05, fraction, reg_type, 0.0)
+    w = np.zeros(3)
+    for i in range(1, 6):
+        w = w - 1 / i**0.5 * ((1 / (1 + np.exp(-(x @ w))) - y) @ x / len(y) + (0.05 * w if reg_type == "l2" else 0))
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.05 / i**0.5, 0) if reg_type == "l1" else w
+    fitted = q.sgd_fit(points, [q.cold_model(n_features=3)], rule)["cold"].weights
+    assert np.allclose(fitted, w, atol=1e-9 if fraction == 1.0 else 0.3)
+    assert fraction == 1.0 or not np.allclose(fitted, w, atol=1e-9)
+
+
+@pytest.mark.parametrize("row", [(2, [1.0, 2.0, 3.0]), (1, [1.0, 2.0])])
+def test_points_of_another_shape_are_an_error(spark, row):
+    points = spark.createDataFrame([row, (0, [1.0, 0.0, 1.0])], "label int, features array<double>").coalesce(1)
+    with pytest.raises(Exception):
+        q.sgd_fit(points, [q.cold_model(n_features=3)])
