@@ -50,7 +50,8 @@ MIN_CONTEXTS = 4.0
 MAX_TERMS = 2_000
 FOLDS = 5
 HELD_OUT = 0
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
+TEXTS_AT_ONCE = 500
 
 # A fixed lexicon of plain insults.
 INSULTS = frozenset(
@@ -80,6 +81,13 @@ def _chosen(n: int, bound: int, key: str = "doc_id") -> Column:
     return F.lit(True) if n <= bound else F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * bound / n)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a few texts: only that many are held as Python objects, and written back at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(start, TEXTS_AT_ONCE)
+
+
 def learn_terms(sample: DataFrame) -> list[str]:
     """Terms of the toxic class in (text, toxic) rows; the sample is bounded, so are the counts."""
 
@@ -319,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         """Reads (text, chosen): the votes, and the features of chosen rows with one of these patterns (None: any)."""
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches):
                 votes, active = [], []
                 for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     got = shared.value.read(text, chosen and patterns is None)
@@ -369,7 +377,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         voters, weights = Voters(model.terms), model.weights
-        for batch in batches:
+        for batch in _slices(batches):
             margins = []
             for value in batch.column(text).to_pylist():
                 active = np.array(sorted(voters.read(value or "")[1]), np.int64)
