@@ -50,6 +50,7 @@ TEXTS_AT_ONCE = 1_000
 COUNT_BITS = 20  # of a packed count
 MOST = (1 << COUNT_BITS) - 1
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 END, START, FIRST = 1, 2, 16  # codes; head words follow from FIRST on
 _TAIL = np.uint64(1 << 63)
@@ -404,19 +405,22 @@ def _head_words(words: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Whole texts travel to Python in batches of a few megabytes, on both sides of the pipe, while the tables are written."""
-    before = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, str(min(int(before), TEXTS_AT_ONCE)))
+def _sparing(spark: SparkSession) -> Iterator[None]:
+    """While the tables are written, whole texts travel to Python in batches of a few megabytes, on both sides of
+    the pipe, and the shuffle files of a table go when it is written, not when the driver next collects garbage."""
+    before = {name: spark.conf.get(name) for name in (BATCH_ROWS, DROP_SHUFFLES)}
+    spark.conf.set(BATCH_ROWS, str(min(int(before[BATCH_ROWS]), TEXTS_AT_ONCE)))
+    spark.conf.set(DROP_SHUFFLES, "true")
     try:
         yield
     finally:
-        spark.conf.set(BATCH_ROWS, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def score_texts(docs: DataFrame, train: Column, text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text."""
-    with _small_batches(docs.sparkSession):
+    with _sparing(docs.sparkSession):
         return _scored(docs, train, text)
 
 

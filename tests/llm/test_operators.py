@@ -488,3 +488,32 @@ def test_pipeline(spark, sf_dir, docs):
     assert set(rows) < set(docs) and len(rows) > 0.5 * len(docs)
     leaked = {r["doc_id"] for r in decontaminate.op9_decontamination(spark, sf_dir).collect()}
     assert not leaked & set(rows)
+
+
+def test_toxicity_takes_a_few_texts_at_a_time(spark, monkeypatch):
+    """A worker never turns more texts than that into Python objects, or sends more back in one batch."""
+    monkeypatch.setattr(toxicity, "TEXTS_AT_ONCE", 3)
+    batch = toxicity.pa.RecordBatch.from_pydict({"text": [str(i) for i in range(8)]})
+    got = list(toxicity._slices(iter([batch, batch.slice(0, 0), batch.slice(7)])))
+    assert [b.num_rows for b in got] == [3, 3, 2, 1] and [v for b in got[:3] for v in b.column(0).to_pylist()] == [str(i) for i in range(8)]
+
+
+def test_katz_leaves_no_shuffle_files_of_its_tables(spark, sf_dir, monkeypatch):
+    """Once a table is written its shuffles are gone, and the session's settings are as before."""
+    from pyspark import SparkContext
+
+    env = SparkContext._jvm.org.apache.spark.SparkEnv.get()
+    tracked, seen = lambda: env.mapOutputTracker().shuffleStatuses().size(), []
+    before = {name: spark.conf.get(name) for name in (katz.BATCH_ROWS, katz.DROP_SHUFFLES)}
+    plain = katz.written
+
+    def counted(frame, purpose):
+        start = tracked()
+        out = plain(frame, purpose)
+        seen.append(tracked() - start)
+        return out
+
+    monkeypatch.setattr(katz, "written", counted)
+    katz.op1_katz_scores(spark, sf_dir).count()
+    assert seen and max(seen) <= 0
+    assert {name: spark.conf.get(name) for name in before} == before
