@@ -13,9 +13,9 @@ that it too leaves mass. The first history of a text is a start mark; every text
 Pass 1 counts words. The most frequent, at most ``HEAD_WORDS``, get short codes and are broadcast with
 their counts (the bound is the parameter); all other words go by 63-bit hash. Pass 2 packs the bigram
 occurrences of a block of texts per bucket of histories and ships them once. A bucket then holds
-all occurrences of its bigrams, so it yields the counts (the model table, partitioned by bucket),
-the parts of alpha, and for every text the sums that need no further lookup: counts of counts and
-logarithms, from which the discounts, known only at the end, give the score. Very frequent
+all occurrences of its bigrams, so it yields the parts of alpha, and for every text the sums that need
+no further lookup: counts of counts and logarithms, from which the discounts, known only at the end,
+give the score. Counts of bigrams are used where they arise and not stored. Very frequent
 histories are dealt to buckets in proportion to their share, by the next word. Only bigrams that
 were never seen, which held-out texts alone have, look up alpha(h) and P(w).
 
@@ -28,16 +28,17 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prequenta.llm.common import bucket_of, drop_written, table, written
+from prequenta.llm.common import BATCH_ROWS, bucket_of, drop_written, make_room, small_batches, table, written
 
 FOLDS = 7
 HELD_OUT = 2
@@ -46,10 +47,11 @@ HEAD_WORDS = 1 << 16
 BLOCK_TOKENS = 1 << 18
 BUCKET_TOKENS = 400_000
 MEMO_WORDS = 100_000
-TEXTS_AT_ONCE = 1_000
+HISTORIES_A_ROW = 2_048  # and other parts of a bucket: rows of some 100 kB, whatever its size
+READ_ROWS = 256  # wide rows that are read from a table at once
 COUNT_BITS = 20  # of a packed count
 MOST = (1 << COUNT_BITS) - 1
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+READ_AT_ONCE = "spark.sql.parquet.columnarReaderBatchSize"
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 END, START, FIRST = 1, 2, 16  # codes; head words follow from FIRST on
@@ -75,6 +77,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(w, c) of the words of all texts, by hash; END stands for the end token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         counts: Counter[bytes] = Counter()
         ends = 0
 
@@ -200,6 +203,7 @@ def _ship(head):
     """Pass 2: bigram occurrences of blocks of texts, packed per bucket. bucket -1 lists the block's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         shared: Head = head.value
         memo = Codes(shared.codes())
         n_buckets, part, number = np.uint64(shared.n_buckets), TaskContext.get().partitionId(), 0
@@ -254,7 +258,7 @@ def _ship(head):
     return run
 
 
-# kind 0: sums per text of a block; 1: unseen bigrams; 2: the model's bigrams; 3: histories; 4: rare words seen after a history;
+# kind 0: sums per text of a block; 1: unseen bigrams; 3: histories; 4: rare words seen after a history;
 # 5: seen bigrams of spread histories that may need one more occurrence.
 REDUCED = (
     "kind int, block long, doc array<int>, h array<long>, w array<long>, n array<long>, known array<int>, base array<double>, logs array<double>, bucket int"
@@ -337,14 +341,20 @@ def _reduce(head):
             if not ok.all():
                 miss = ~ok
                 add(1, block, doc[miss].astype(np.int32), uh[pair[miss]].view(np.int64), uw[pair[miss]].view(np.int64))
-        add(2, h=uh[seen].view(np.int64), w=uw[seen].view(np.int64), n=count[seen])
-        use = here > 0
-        sums = np.concatenate([here[use], extra[use], *(row[use] for row in low)])
-        add(3, h=vh[use].view(np.int64), n=sums, logs=mass[use])
-        rare = seen & ~small_w
-        add(4, h=uh[rare].view(np.int64), w=uw[rare].view(np.int64))
+        used, rare = np.flatnonzero(here > 0), np.flatnonzero(seen & ~small_w)
+        for start in range(0, len(used), HISTORIES_A_ROW):
+            use = used[start : start + HISTORIES_A_ROW]
+            add(3, h=vh[use].view(np.int64), n=np.concatenate([here[use], extra[use], *(row[use] for row in low)]), logs=mass[use])
+        for start in range(0, len(rare), 4 * HISTORIES_A_ROW):
+            some = rare[start : start + 4 * HISTORIES_A_ROW]
+            add(4, h=uh[some].view(np.int64), w=uw[some].view(np.int64))
         kinds = [pa.int32(), pa.int64(), *[pa.list_(t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64())], pa.int32()]
-        return pa.table({name: pa.array(values, t) for (name, values), t in zip(out.items(), kinds, strict=True)})
+        # In batches of a few rows, which the executor holds one at a time.
+        batches = (
+            pa.RecordBatch.from_arrays([pa.array(values[at : at + READ_ROWS], t) for values, t in zip(out.values(), kinds, strict=True)], list(out))
+            for at in range(0, len(out["kind"]), READ_ROWS)
+        )
+        return pa.Table.from_batches(batches, pa.schema(list(zip(out, kinds, strict=True))))
 
     return run
 
@@ -355,7 +365,7 @@ def _texts(d: np.ndarray, head):
     log_d = np.log10(d[1:])
 
     def run(rows: pa.Table) -> pa.Table:
-        n_docs = 1 + max(max(x) for x in rows.column("doc").to_pylist())
+        n_docs = 1 + pc.max(pc.list_flatten(rows.column("doc"))).as_py()
         known, base, score = np.zeros(n_docs, np.int64), np.zeros(n_docs), np.zeros(n_docs)
         for i in range(rows.num_rows):
             doc = np.asarray(rows.column("doc")[i].values)
@@ -404,18 +414,11 @@ def _head_words(words: DataFrame) -> DataFrame:
     return real.where(F.lit(False) if cut is None else level >= cut)
 
 
-@contextmanager
-def _sparing(spark: SparkSession) -> Iterator[None]:
-    """While the tables are written, whole texts travel to Python in batches of a few megabytes, on both sides of
-    the pipe, and the shuffle files of a table go when it is written, not when the driver next collects garbage."""
-    before = {name: spark.conf.get(name) for name in (BATCH_ROWS, DROP_SHUFFLES)}
-    spark.conf.set(BATCH_ROWS, str(min(int(before[BATCH_ROWS]), TEXTS_AT_ONCE)))
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+def _sparing(spark: SparkSession) -> AbstractContextManager[None]:
+    """While the tables are written, texts travel to Python and wide rows are read a few megabytes at a time, and the
+    shuffle files of a table go when it is written, not when the driver next collects garbage."""
+    rows = min(int(spark.conf.get(READ_AT_ONCE)), READ_ROWS)
+    return small_batches(spark, more={READ_AT_ONCE: str(rows), DROP_SHUFFLES: "true"})
 
 
 def score_texts(docs: DataFrame, train: Column, text: str = "text") -> DataFrame:

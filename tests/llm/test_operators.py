@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prequenta.llm import bpe, catalog, decontaminate, html, katz, neardup, secrets, suffixes, tokencount, topk, toxicity
+from prequenta.llm import bpe, catalog, common, decontaminate, html, katz, neardup, secrets, suffixes, tokencount, topk, toxicity
 from prequenta.llm.common import table
 from prequenta.llm.lexicon import Lexicon, compile_lexicon
 
@@ -517,3 +517,30 @@ def test_katz_leaves_no_shuffle_files_of_its_tables(spark, sf_dir, monkeypatch):
     katz.op1_katz_scores(spark, sf_dir).count()
     assert seen and max(seen) <= 0
     assert {name: spark.conf.get(name) for name in before} == before
+
+
+def test_workers_drop_an_encoder_that_others_left():
+    """It is kept between tasks that encode; tasks of other stages in the same worker do not carry it along."""
+    made = bpe.worker_bpe(bpe.tokenizer_file(), "", None)
+    assert bpe.worker_bpe(bpe.tokenizer_file(), "", None) is made
+    list(neardup._sketches(iter([])))
+    assert not common._kept
+
+
+def test_katz_buckets_give_short_rows():
+    """However large a bucket, no row holds more than a few thousand of its numbers, and no batch more than a few rows."""
+    n = 5 * katz.HISTORIES_A_ROW
+    h = np.arange(n, dtype=np.uint64) + katz._TAIL
+    w = h[::-1].copy()
+    blob = katz._pack_bucket(h, w, np.zeros(n, np.int64), np.array([True]))
+    rows = katz.pa.table({"bucket": [0], "block": [0], "size": [24 + 20 * n + 4 * n + 1], "blob": [blob]})
+    shared = katz.Head([], [], 1, 1, n, n, np.ones(katz.MAX_DISCOUNTED + 1))
+    got = katz._reduce(type("Head", (), {"value": shared}))(rows)
+    most = {}
+    for kind, *lists in zip(*(got.column(c).to_pylist() for c in ("kind", "h", "n")), strict=True):
+        most[kind] = max(most.get(kind, 0), *(len(x or []) for x in lists))
+    assert most[3] == (katz.MAX_DISCOUNTED + 3) * katz.HISTORIES_A_ROW and most[4] == 4 * katz.HISTORIES_A_ROW
+    for kind in (3, 4):
+        listed = [x for k, hs in zip(got.column("kind").to_pylist(), got.column("h").to_pylist(), strict=True) if k == kind for x in hs]
+        assert sorted(listed) == sorted(h.view(np.int64).tolist())
+    assert max(b.num_rows for b in got.to_batches()) <= katz.READ_ROWS
