@@ -22,7 +22,6 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from prequenta.llm.common import drop_written, table, written
+from prequenta.llm.common import drop_written, kept, table, written
 from prequenta.llm.lexicon import Lexicon, compile_lexicon
 
 LEXICON_PIECES = 100_000
@@ -235,27 +234,9 @@ def build_lexicon(docs: DataFrame, path: str, n: int = LEXICON_PIECES, text: str
     return bytes(found[0]["data"]) if found else compile_lexicon([])
 
 
-@lru_cache(maxsize=1)
 def worker_bpe(path: str, digest: str, lexicon) -> WordBpe:
-    """The encoder of a Python worker, kept with its memos from task to task; the digest tells lexicons apart."""
-    return WordBpe(path, lexicon.bytes if lexicon else None)
-
-
-class _Shared:
-    """A broadcast lexicon as an argument that does not count for the cache."""
-
-    def __init__(self, broadcast):
-        self.broadcast = broadcast
-
-    @property
-    def bytes(self) -> bytes:
-        return self.broadcast.value
-
-    def __hash__(self) -> int:
-        return 0
-
-    def __eq__(self, other) -> bool:
-        return isinstance(other, _Shared)
+    """The encoder of a Python worker, kept with its memos from task to task; the digest tells (broadcast) lexicons apart."""
+    return kept((path, digest), lambda: WordBpe(path, lexicon.value if lexicon else None))
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, lexicon: bytes | None = None, text: str = "text") -> DataFrame:
@@ -282,7 +263,7 @@ def _mapped(docs: DataFrame, path: str, lexicon: bytes, text: str, outputs: list
     names = [o.split()[0] for o in outputs]
     keep = [c for c in docs.columns if c not in names]
     schema = T.StructType([f for f in docs.schema.fields if f.name in keep] + list(T.StructType.fromDDL(", ".join(outputs)).fields))
-    shared, digest = _Shared(docs.sparkSession.sparkContext.broadcast(lexicon)), hashlib.sha256(lexicon).hexdigest()
+    shared, digest = docs.sparkSession.sparkContext.broadcast(lexicon), hashlib.sha256(lexicon).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path, digest, shared)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prequenta.llm.common import drop_written, table, written
+from prequenta.llm.common import drop_written, make_room, small_batches, table, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -49,6 +49,7 @@ SHORT_UPTO = 15  # ... and so are those that may be similar to them
 MEMO_WORDS = 200_000
 SLICE = 128  # texts that are split into words at a time
 PARITY_BITS = 2048
+BLOCKS_AT_ONCE = 64  # pairs of blocks that travel to Python together, of some 150 kB each
 BLOCK = 256  # texts of a bucket that are compared with as many others at a time
 
 _R = np.random.default_rng(20)
@@ -166,6 +167,7 @@ def _digest(words: list[str]) -> bytes:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room()
     memo = Words()
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE):
@@ -189,6 +191,7 @@ VERIFIED = "a binary, b binary, same boolean, distance long"
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         memo = Words()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
@@ -299,7 +302,8 @@ def _remaining(members: DataFrame, nodes: DataFrame, labels: DataFrame, threshol
     y = blocks.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"y_{c}") for c in ("block", "pure", "texts")])
     both = x.join(y, ["bucket", "salt"]).where("x_block <= y_block AND (x_pure != y_pure OR x_pure IS NULL OR y_pure IS NULL)")
     pairs = both.select("x_texts", "y_texts", F.expr("x_block = y_block")).mapInArrow(_near(threshold), "a binary, b binary")
-    pairs = written(pairs.distinct(), "neardup-remaining")
+    with small_batches(pairs.sparkSession, BLOCKS_AT_ONCE):
+        pairs = written(pairs.distinct(), "neardup-remaining")
     drop_written(blocks)
     drop_written(placed)
     return pairs
@@ -319,6 +323,11 @@ def _marked(docs: DataFrame, text: str) -> Column:
 
 def _classes(docs: DataFrame, threshold: float, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, mark, node), and per node (label, class_id, class_size, doc_id, mark); id and mark stand for the node's text."""
+    with small_batches(docs.sparkSession):
+        return _found(docs, threshold, text)
+
+
+def _found(docs: DataFrame, threshold: float, text: str) -> tuple[DataFrame, DataFrame]:
     mark = _marked(docs, text).alias("mark")
     docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), mark).where("doc_id IS NOT NULL")
     sketch = "mark long, node binary, size long, bands array<bigint>, parity binary"

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prequenta.llm.common import bucket_of, table, written
+from prequenta.llm.common import bucket_of, make_room, small_batches, table, written
 
 LABELLED_ROWS = 20_000
 TRAINING_ROWS = 20_000
@@ -92,14 +92,22 @@ def learn_terms(sample: DataFrame) -> list[str]:
     """Terms of the toxic class in (text, toxic) rows; the sample is bounded, so are the counts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for batch in batches:
+
+        def flush() -> pa.RecordBatch:
+            counts = [pa.array([n[y] for n in seen.values()], pa.int64()) for y in (0, 1)]
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *counts], ["term", "clean", "toxic"])
+            seen.clear()
+            return out
+
+        for batch in _slices(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for term in _document_terms(WORD.findall((text or "").lower())):
                     seen[term][y] += 1
-        terms = list(seen)
-        counts = [pa.array([seen[t][y] for t in terms], pa.int64()) for y in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *counts], ["term", "clean", "toxic"])
+            if len(seen) >= MEMO_WORDS:
+                yield flush()
+        yield flush()
 
     frequent = (
         sample.mapInArrow(counted, "term string, clean long, toxic long")
@@ -114,7 +122,7 @@ def learn_terms(sample: DataFrame) -> list[str]:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, before = names.value, Counter()
-        for batch in batches:
+        for batch in _slices(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if y:
                     words = WORD.findall((text or "").lower())
@@ -305,6 +313,11 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     """Learn from the rows of ``docs`` that are not held out, and the labels of a bounded part of them."""
+    with small_batches(docs.sparkSession):
+        return _fitted(docs, labels, text)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, text: str) -> Model:
     spark = docs.sparkSession
     known = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -327,6 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         """Reads (text, chosen): the votes, and the features of chosen rows with one of these patterns (None: any)."""
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make_room()
             for batch in _slices(batches):
                 votes, active = [], []
                 for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -375,6 +389,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         model = shared.value
         voters, weights = Voters(model.terms), model.weights
         for batch in _slices(batches):
