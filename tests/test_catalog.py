@@ -9,6 +9,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import prequenta as q
@@ -150,3 +151,19 @@ def test_lines_are_written_without_a_shuffle(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert lines.count() == 40 and len(lines.inputFiles()) == 4
+
+
+def test_lines_are_built_outside_generated_code(spark):
+    """NULLs leave cells out, remainders keep their sign, and no long generated method holds the thirty features."""
+    rows = [(1, 12345.675, 7, 3), (2, -0.5, -4, -2), (3, None, 7, 3), (4, 1.0, None, 3), (5, 901.0, 8, None), (6, 0.0, 0, 0), (7, 20.3, 5, 1)]
+    table = spark.createDataFrame(rows, "id bigint, price double, shift bigint, noise int")
+    cells = [F.expr(f"((c div {p}) + shift) % 3 - 1").alias(f"f{k}") for k, p in enumerate(fixtures.PRIMES, 1)]
+    label = F.expr("if(f1 + 2 * f2 - f3 + (noise % 3 - 1) > 0, 1, -1)")
+    plain = table.selectExpr("*", "cast(round(price * 100) as bigint) AS c").select("id", "noise", *cells)
+    want = plain.select("id", F.concat_ws(",", *[f"f{k}" for k in range(1, 31)], label).alias("line"))
+    lines = fixtures._planted(table, ("id",), "price", "shift", "noise")
+    assert sorted(lines.collect()) == sorted(want.collect()) and len(rows) == lines.count()
+    assert "concat_ws" not in lines._jdf.queryExecution().executedPlan().toString()
+    huge = spark.createDataFrame([(1, 9e16, 2**63 - 1, 0)], table.schema)
+    with pytest.raises(Exception):
+        fixtures._planted(huge, ("id",), "price", "shift", "noise").collect()
