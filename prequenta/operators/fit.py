@@ -83,6 +83,14 @@ def _unpacked(block: Row) -> tuple[np.ndarray, np.ndarray]:
     return x.astype(np.float64), np.frombuffer(block["labels"], np.int8).astype(np.float64)
 
 
+def _raw(block: Row) -> Row:
+    """The block with its bytes as Python's, which a step reads as they are.
+
+    What comes straight from the JVM is pickled as text, so that every step would decode each byte again.
+    """
+    return Row(**block.asDict() | {name: bytes(block[name]) for name in ("labels", "features")})
+
+
 @contextmanager
 def held_points(points: DataFrame | RDD) -> Iterator[RDD]:
     """The blocks of ``points`` in memory and on disk of the executors, read from a copy in the shared folder.
@@ -101,7 +109,7 @@ def held_points(points: DataFrame | RDD) -> Iterator[RDD]:
         plain = points.select(F.col("label").cast("double"), F.col("features").cast("array<double>"))
         written = plain.mapInArrow(_packed, BLOCKS).write.option("compression", "none").option("parquet.block.size", ROW_GROUP_BYTES)
         written.parquet(path)
-        blocks = spark.read.schema(BLOCKS).parquet(path).rdd.persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = spark.read.schema(BLOCKS).parquet(path).rdd.map(_raw).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             yield blocks
         finally:

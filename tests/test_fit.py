@@ -184,3 +184,9 @@ def test_points_of_another_shape_are_an_error(spark, row):
     points = spark.createDataFrame([row, (0, [1.0, 0.0, 1.0])], "label int, features array<double>").coalesce(1)
     with pytest.raises(Exception):
         q.sgd_fit(points, [q.cold_model(n_features=3)])
+
+
+def test_held_blocks_are_not_decoded_again(spark, data):
+    """Blocks are held as Python pickles bytes; as the JVM does, they are a text that every step turns into bytes."""
+    with fit_module.held_points(data[0]) as held:
+        assert held.is_cached and {type(r[name]) for r in held.collect() for name in ("labels", "features")} == {bytes}
