@@ -95,8 +95,8 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _planted(df: DataFrame, keys: tuple[str, ...], cents: str, shift: str, noise: str) -> DataFrame:
     """Lines whose label follows ``f1 + 2*f2 - f3`` plus noise in {-1, 0, 1}.
 
-    Over Arrow batches: as one column expression the thirty features and their texts were a generated
-    method that ran up to eight times slower for most of a run, as the JVM's compiler left it.
+    Over Arrow batches: as column expressions the thirty features and their texts often ran several
+    times slower the first time in a JVM than the second; the cause was not found.
     """
     parts = {"c": f"round({cents} * 100)", "shift": shift, "noise": noise}
     base = df.select(*keys, *[F.expr(f"cast({value} as bigint)").alias(f"_{name}") for name, value in parts.items()])
