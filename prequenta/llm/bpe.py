@@ -3,10 +3,16 @@
 The tokenizer cuts a text at white space into words, and words into pieces (a run of letters, a
 digit, a run of signs). The ``LEXICON_PIECES`` most frequent pieces, counted over all texts, are
 compiled with their ids into a minimal acyclic transducer. Its size is bounded by that parameter,
-so it is broadcast; every Python worker memory-maps it. Pieces it does not hold are merged exactly. Pieces met before are taken from a bounded memo, which a worker keeps
-from task to task. Texts without characters beyond U+017F, on which no versions of Unicode differ,
-are cut in one go; others word by word, with the library's own tables where needed. Special tokens,
-which match anywhere, are cut out first.
+so it is broadcast; every Python worker memory-maps it. Pieces it does not hold are merged exactly: by
+a library that joins by the rank of the token, where the merges are such that this is the same (see
+``WordBpe.ranked``), else pair by pair. Pieces met before are taken from a bounded memo, which a worker
+keeps from task to task.
+
+Texts are cut at white space by Arrow, and each different word of a slice of texts is cut and looked up
+once; its ids are then put in all its places at once. Words without characters beyond U+017F, on which
+no versions of Unicode differ, are cut by the pattern here; others with the library's own tables.
+Texts with such characters are split into words here, and so are those with special tokens, which match
+anywhere and are cut out first.
 
 The lexicon only saves work: ids are the same whatever it holds.
 
@@ -20,12 +26,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cached_property
+from itertools import chain, pairwise
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +48,12 @@ from prequenta.llm.lexicon import Lexicon, compile_lexicon
 LEXICON_PIECES = 100_000
 SAMPLE_TEXTS = None  # no sample is taken any more; the name stays for code that still sets it
 MAX_PIECE = 64  # bytes; longer pieces are not worth a place in the lexicon
-MEMO_WORDS = 150_000  # words or pieces in each of two generations
+MEMO_WORDS = 150_000  # pieces in each of two generations, and from which on counts are sent off
+SLICE_BYTES = 4 << 20  # of texts whose words are looked up together
 #: Letters, numbers and white space up to U+017F as classes of the split pattern.
 CLASSES = {r"\p{L}": "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": "\t-\r \x85\xa0"}
-ID_BITS = 32
-ID_MASK = (1 << ID_BITS) - 1
-NO_RANK = 1 << 2 * ID_BITS
+NO_RANKS: dict[int, int] = {}  # of an id that begins no pair
+PIECE_END = "\n"  # white space, which no piece holds
 
 
 def tokenizer_file() -> str:
@@ -67,13 +78,18 @@ class WordBpe:
         self.end: str = model["end_of_word_suffix"]
         self.library = Tokenizer.from_file(path)
         self.specials: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: t for t, i in (self.vocab | self.specials).items()}
-        # Both ids of a pair in one number -> rank and id of the joined token in one number.
-        self.joined: dict[int, int] = {}
-        for rank, (left, right) in enumerate(model["merges"]):
-            self.joined.setdefault(self.vocab[left] << ID_BITS | self.vocab[right], rank << ID_BITS | self.vocab[left + right])
+        token = {i: t for t, i in (self.vocab | self.specials).items()}
+        self.token = [token.get(i, "") for i in range(max(token) + 1)]
+        # By left id: right id -> rank of the pair; by rank: id of the joined token.
+        self.ranks: list[dict[int, int]] = [NO_RANKS] * len(self.token)
+        self.made: list[int] = []
+        self.pairs = [(self.vocab[left], self.vocab[right]) for left, right in model["merges"]]
+        for rank, (left, right) in enumerate(self.pairs):
+            if self.ranks[left] is NO_RANKS:
+                self.ranks[left] = {}
+            self.ranks[left].setdefault(right, rank)
+            self.made.append(self.vocab["".join(model["merges"][rank])])
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern).findall
         for name, chars in CLASSES.items():
             pattern = pattern.replace(name, chars)
         self.early_pieces = re.compile(pattern).findall
@@ -82,96 +98,144 @@ class WordBpe:
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.end] for x in letters]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")").split
+        # Texts that are cut into words here and not by Arrow: special tokens, what splits words in Arrow only, late letters.
+        self.odd = "|".join([r"[\x1c-\x1f]", r"[^\x00-\x{17f}]", *map(re.escape, self.specials)])
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        # Word or piece -> its ids and its tokens as text; a word without ids has empty ones.
-        self.words, self.parts = Memo(self.spelt_word), Memo(self.spelt_part)
-        self.number = {i: str(i) for i in self.token}
+        self.parts = Memo(lambda piece: array("i", self.merged(piece)).tobytes())
+        # What is joined by blanks: of all texts of a slice together it may take more than 2 GB.
+        self.numbers = pa.array([str(i) for i in range(len(self.token))], pa.large_string())
+        self.tokens = pa.array(self.token, pa.large_string())
 
-    def merged(self, piece: bytes) -> list[int]:
+    def merged(self, piece: bytes | str) -> list[int]:
         """Ids of one piece: from the lexicon, or joining the pair of lowest rank, leftmost first, until none is left."""
+        if isinstance(piece, str):
+            piece = piece.encode("utf-8")
         if self.lexicon is not None and len(piece) <= MAX_PIECE:
             got = self.lexicon.get(piece)
             if got is not None:
                 return got
+        if self.ranked is None:
+            return self.joined(piece)
+        ids = self.of_rank
+        return [ids[r] for r in self.ranked(piece.decode("utf-8") + PIECE_END)]
+
+    def joined(self, piece: bytes, whole: bool = True) -> list[int]:
+        """The same without lexicon and library; ``whole`` if a word ends with the piece."""
         ids = [self.inner[b] for b in piece]
-        ids[-1] = self.last[piece[-1]]
-        joined = self.joined.get
-        todo = [joined(left << ID_BITS | right, NO_RANK) for left, right in zip(ids, ids[1:], strict=False)]
-        while todo and (best := min(todo)) < NO_RANK:
+        if whole:
+            ids[-1] = self.last[piece[-1]]
+        ranks, made = self.ranks, self.made
+        none = len(made)
+        todo = [ranks[left].get(right, none) for left, right in pairwise(ids)]
+        while todo and (best := min(todo)) < none:
             at = todo.index(best)
-            new = ids[at] = best & ID_MASK
+            new = ids[at] = made[best]
             del ids[at + 1], todo[at]
             if at:
-                todo[at - 1] = joined(ids[at - 1] << ID_BITS | new, NO_RANK)
+                todo[at - 1] = ranks[ids[at - 1]].get(new, none)
             if at < len(todo):
-                todo[at] = joined(new << ID_BITS | ids[at + 1], NO_RANK)
+                todo[at] = ranks[new].get(ids[at + 1], none)
         return ids
 
-    def cut_word(self, word: str) -> list[bytes]:
-        """Pieces of a word without white space or special tokens, normalised, as bytes."""
+    @cached_property
+    def ranked(self):
+        """Ranks of the tokens of a piece with ``PIECE_END`` (``of_rank``: their ids), joined by a library that
+        knows the rank of a token, not the pair it is made of; None if that may give other ids.
+
+        It gives the same ones if parts come before what is made of them, no token is made twice and each token,
+        as a piece, is joined to itself. Until the two differ, pairs are joined by rising rank; if the library then
+        joins a and b to a token made of another pair, the token as a piece of its own also gets to a and b with
+        all lower ranks used up, and would not be joined to itself.
+        """
+        end = PIECE_END.encode()
+        spelt = {i: bytes([b]) for b, i in enumerate(self.inner)} | {i: bytes([b]) + end for b, i in enumerate(self.last)}
+        for left, right in self.pairs:
+            made = self.made[len(spelt) - 512]
+            if left not in spelt or right not in spelt or made in spelt:
+                return None
+            spelt[made] = spelt[left] + spelt[right]
+        self.of_rank = list(spelt)
+        for i, piece in spelt.items():
+            if piece != end and self.joined(piece.removesuffix(end), piece.endswith(end)) != [i]:
+                return None
+        # The first ranks are single bytes, then those that end a piece, which are joined before anything else.
+        ranks = {x: r for r, x in enumerate(spelt.values())}
+        if len(ranks) < len(spelt):
+            return None
+        return tiktoken.Encoding("ranks", pat_str=f"[^{PIECE_END}]*{PIECE_END}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def cut_word(self, word: str) -> list[str] | list[bytes]:
+        """Pieces of a word without white space or special tokens, normalised, as bytes if they were cut by the library."""
         if word.isascii():
-            cut = [p.encode() for p in self.early_pieces(word.lower())]
-        elif max(word) < "\u0180":
-            cut = [p.encode("utf-8") for p in self.early_pieces(word.lower())]
-        else:  # letters on which versions of Unicode differ: cut by the library's own tables
-            normal = self.library.normalizer.normalize_str(word)
-            cut = [bytes([self.byte_of[c] for c in p]) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
-        return cut
-
-    def encoded(self, word: str) -> list[int]:
-        """Ids of a word without white space or special tokens."""
-        return [i for piece in self.cut_word(word) for i in self.merged(piece)]
-
-    def spelt(self, ids: list[int]) -> tuple[str, str]:
-        token, number = self.token, self.number
-        return " ".join([number[i] for i in ids]), " ".join([token[i] for i in ids])
-
-    def spelt_word(self, word: str) -> tuple[str, str]:
-        return self.spelt(self.encoded(word))
-
-    def spelt_part(self, piece: str) -> tuple[str, str]:
-        return self.spelt(self.merged(piece.encode("utf-8")))
+            low = word.lower()
+            return [low] if low.isalpha() else self.early_pieces(low)
+        if max(word) < "\u0180":
+            return self.early_pieces(word.lower())
+        # Letters on which versions of Unicode differ: cut by the library's own tables.
+        normal = self.library.normalizer.normalize_str(word)
+        return [bytes([self.byte_of[c] for c in p]) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def encoded(self, word: str) -> bytes:
+        """Ids, four bytes each, of a word without white space, or of a special token."""
+        if word in self.specials:
+            return array("i", [self.specials[word]]).tobytes()
+        cut, parts = self.cut_word(word), self.parts
+        return parts[cut[0]] if len(cut) == 1 else b"".join([parts[piece] for piece in cut])
+
+    def word_lists(self, texts: pa.Array) -> pa.ListArray:
+        """The words and special tokens of each text; a NULL text has none. Empty words are among them."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, self.odd)
+        lists = pc.utf8_split_whitespace(texts.filter(pc.invert(odd)))
+        if len(lists) == len(texts):
+            return lists
+        rest = [[w for i, span in enumerate(self.cut(t)) for w in ([span] if i % 2 else split_words(span))] for t in texts.filter(odd).to_pylist()]
+        at = odd.to_numpy(zero_copy_only=False)
+        order = np.argsort(np.concatenate([np.flatnonzero(~at), np.flatnonzero(at)]))
+        return pa.concat_arrays([lists, pa.array(rest, lists.type)]).take(pa.array(order))
+
+    def texts(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """For each text the number of ids, the ids as text and the decoded text. Each different word is looked up once."""
+        lists = self.word_lists(texts)
+        words = lists.flatten().dictionary_encode()
+        found = [self.encoded(w) for w in strings(words.dictionary)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        of_words = np.frombuffer(b"".join(found), np.int32)
+        at = words.indices.to_numpy()
+        n = sizes[at]
+        upto = np.concatenate([[0], n.cumsum()])
+        # The place of each id in of_words: where its word's ids start there, and how many of the word's ids come before it.
+        places = np.repeat((sizes.cumsum() - sizes)[at] - upto[:-1], n) + np.arange(upto[-1])
+        ids = pa.array(of_words[places])
+        ends = upto[np.concatenate([[0], pc.list_value_length(lists).to_numpy().cumsum()])]
+
+        def joined(names: pa.Array) -> pa.Array:
+            return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), names.take(ids)), pa.scalar(" ", names.type))
+
+        return pa.array(np.diff(ends), pa.int64()), joined(self.numbers), joined(self.tokens)
 
     def text(self, text: str) -> tuple[int, bytes, bytes]:
         """(number of ids, ids as text, decoded text)."""
-        ids, decoded = [], []
-        for i, span in enumerate(self.cut(text)):
-            if i % 2:
-                ids.append(str(self.specials[span]))
-                decoded.append(span)
-                continue
-            early = span.isascii() or max(span) < "\u0180"
-            every, memo = (self.early_pieces(span.lower()), self.parts) if early else (split_words(span), self.words)
-            # A very long text is taken in slices, so that the memos stay bounded.
-            for start in range(0, len(every), MEMO_WORDS):
-                words = every[start : start + MEMO_WORDS]
-                memo.learn(set(words))
-                some = map(memo.ids.__getitem__, words), map(memo.decoded.__getitem__, words)
-                ids.extend(some[0] if early else filter(None, some[0]))
-                decoded.extend(some[1] if early else filter(None, some[1]))
-        joined = " ".join(ids)
-        return joined.count(" ") + 1 if joined else 0, joined.encode(), " ".join(decoded).encode()
-
-
-class Memo:
-    """What was found for words, in two generations: the older one goes when the newer one is full."""
+        n, ids, decoded = (x[0].as_py() for x in self.texts(pa.array([text], pa.string())))
+        return n, ids.encode(), decoded.encode()
+
+
+class Memo(dict):
+    """What was found for pieces, in two generations: the older one goes when the newer one is full."""
 
     def __init__(self, find):
-        self.find = find
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
-        self.old: tuple[dict[str, str], dict[str, str]] = {}, {}
-
-    def learn(self, words: set[str]) -> None:
-        """Afterwards ``ids`` and ``decoded`` hold all of the words."""
-        if len(self.ids) >= MEMO_WORDS:
-            self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
-        ids, decoded = self.old
-        for word in words.difference(self.ids):
-            if word in ids:
-                self.ids[word], self.decoded[word] = ids[word], decoded[word]
-            else:
-                self.ids[word], self.decoded[word] = self.find(word)
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, piece: str | bytes):
+        if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(piece)
+        if got is None:
+            got = self.find(piece)
+        self[piece] = got
+        return got
 
 
 # White space of the tokenizer's patterns; Python's str.split() also breaks at U+001C to U+001F, which are none there.
@@ -183,28 +247,39 @@ def split_words(text: str) -> list[str]:
     return [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
 
 
+def slices(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of the batch, about ``SLICE_BYTES`` of the texts at once; a longer text alone or with some before it."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(upto // SLICE_BYTES)) + 1
+    for start, end in pairwise([0, *cuts.tolist(), batch.num_rows]):
+        yield batch.slice(start, end - start)
+
+
+def strings(column: pa.Array) -> list[str]:
+    """As ``to_pylist``, several times faster."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def frequent_pieces(docs: DataFrame, path: str, n: int = LEXICON_PIECES, text: str = "text") -> DataFrame:
     """(piece) of at most n rows: the pieces that occur more often in all texts than the others do."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path, "", None)
-        words: Counter[str] = Counter()
+        counts: Counter[str | bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
-            counts: Counter[bytes] = Counter()
-            for word, times in words.items():  # each different word is cut once
-                for piece in bpe.cut_word(word):
+            pieces = [(p if isinstance(p, bytes) else p.encode(), times) for p, times in counts.items()]
+            counts.clear()
+            pieces = [x for x in pieces if len(x[0]) <= MAX_PIECE]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pieces], pa.binary()), pa.array([x[1] for x in pieces], pa.int64())], ["piece", "n"])
+
+        for batch in chain.from_iterable(slices(b, b.column(0)) for b in batches):
+            words = pc.value_counts(bpe.word_lists(batch.column(0)).flatten())
+            for word, times in zip(strings(words.field("values")), words.field("counts").to_numpy().tolist(), strict=True):
+                for piece in () if word in bpe.specials else bpe.cut_word(word):  # each different word is cut once
                     counts[piece] += times
-            words.clear()
-            pieces = [p for p in counts if len(p) <= MAX_PIECE]
-            return pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array([counts[p] for p in pieces], pa.int64())], ["piece", "n"])
-
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                for span in bpe.cut(value or "")[::2]:
-                    words.update(split_words(span))
-                if len(words) > MEMO_WORDS:
-                    yield flush()
+            if len(counts) > MEMO_WORDS:
+                yield flush()
         yield flush()
 
     counted = docs.select(F.col(text)).mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -244,11 +319,11 @@ def encode_decode(docs: DataFrame, path: str | None = None, lexicon: bytes | Non
     path = path or tokenizer_file()
     if lexicon is None:
         lexicon = build_lexicon(docs, path, text=text)
-    return _mapped(docs, path, lexicon, text, ["n_tokens long", "ids string", "decoded string"], lambda got: got)
+    return _mapped(docs, path, lexicon, text, ["n_tokens long", "ids string", "decoded string"], lambda texts: texts.cast(pa.string()))
 
 
-def _hashed(got: tuple[int, bytes, bytes]) -> tuple[int, str, str]:
-    return got[0], hashlib.sha256(got[1]).hexdigest(), hashlib.sha256(got[2]).hexdigest()
+def _hashed(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x).hexdigest() for x in texts.cast(pa.large_binary()).to_pylist()], pa.string())
 
 
 def encode_digests(docs: DataFrame, path: str | None = None, lexicon: bytes | None = None, text: str = "text") -> DataFrame:
@@ -267,12 +342,9 @@ def _mapped(docs: DataFrame, path: str, lexicon: bytes, text: str, outputs: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path, digest, shared)
-        for batch in batches:
-            got = [form(bpe.text(value or "")) for value in batch.column(text).to_pylist()]
-            columns = [batch.column(c) for c in keep]
-            columns += [pa.array([g[0] for g in got], pa.int64())]
-            columns += [pa.array([g[i] for g in got], pa.string()) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays(columns, keep + names)
+        for batch in chain.from_iterable(slices(b, b.column(text)) for b in batches):
+            n, ids, decoded = bpe.texts(batch.column(text))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), n, form(ids), form(decoded)], keep + names)
 
     return docs.select(*keep).mapInArrow(run, schema)
 

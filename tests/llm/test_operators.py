@@ -1,6 +1,7 @@
 """Corpus operators against brute force, and on odd input."""
 
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -254,6 +255,48 @@ def test_bpe_does_not_depend_on_lexicon_sample_and_memo(spark, odd_docs, monkeyp
         assert mine.text(r["text"] or "") == plain.text(r["text"] or "")
 
 
+def test_bpe_looks_each_word_of_many_texts_up_once(monkeypatch):
+    """Texts are encoded together: words that Arrow cuts, odd ones, special tokens, words without ids, empty and NULL texts."""
+    library, own = bpe.Tokenizer.from_file(bpe.tokenizer_file()), bpe.WordBpe(bpe.tokenizer_file())
+    rows = ["the cat, The  cat's 12", None, "", " \n", "x\x1cy \x85\xa0z", "\u3000\u2019 the \u4e2d", "<|endoftext|>the<|startoftext|> é\u017f", "qzxv " * 9] * 50
+    asked = []
+    monkeypatch.setattr(own, "encoded", lambda w, f=own.encoded: (asked.append(w), f(w))[1])
+    n, ids, decoded = (x.to_pylist() for x in own.texts(bpe.pa.array(rows, bpe.pa.string())))
+    assert len(asked) == len(set(asked)) and {"the", "The", "qzxv"} <= set(asked)
+    for k, t in enumerate(rows):
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert (n[k], ids[k], decoded[k]) == (len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False)), repr(t)
+
+
+def test_bpe_joins_by_rank_only_where_it_gives_the_same_ids(tmp_path):
+    own = bpe.WordBpe(bpe.tokenizer_file())
+    assert own.ranked is not None
+    rng = np.random.default_rng(8)
+    pieces = ["".join(rng.choice(list("aeinorstlhéßx"), int(rng.integers(1, 40))).tolist()) for _ in range(3000)] + ["q", "a" * 3000]
+    assert all(own.merged(p) == own.joined(p.encode()) for p in pieces)
+    spec = json.loads(open(bpe.tokenizer_file(), encoding="utf-8").read())
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    new = [x + y for x in "qxzj" for y in "qxzj" if x + y not in vocab][0]
+    vocab |= {new: max(vocab.values()) + 10, new + "k</w>": max(vocab.values()) + 11}
+    # A part that is made after what is made of it; a token that is made in two ways, of which the second comes first in a word.
+    for more in ([[new, "k</w>"], list(new)], [list(new), [new, "k</w>"], [new[0], new[1] + "k</w>"], [new[1], "k</w>"]]):
+        odd = spec | {"model": spec["model"] | {"vocab": vocab | {new[1] + "k</w>": max(vocab.values()) + 12}, "merges": merges + more}}
+        path = tmp_path / f"{len(more)}.json"
+        path.write_text(json.dumps(odd), encoding="utf-8")
+        library, mine = bpe.Tokenizer.from_file(str(path)), bpe.WordBpe(str(path))
+        assert mine.ranked is None
+        for t in (new + "k", new, "the " + new + "k.", new[1] + "k"):
+            assert mine.text(t)[1].decode() == " ".join(map(str, library.encode(t, add_special_tokens=False).ids))
+
+
+def test_slices_of_texts_hold_all_rows(monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 5)
+    for texts in ([], ["aa", None, "bb", "cccccccccccc", "", "dd"], [None, None]):
+        batch = bpe.pa.record_batch([bpe.pa.array(texts, bpe.pa.string())], ["text"])
+        cut = list(bpe.slices(batch, batch.column(0)))
+        assert [x for c in cut for x in c.column(0).to_pylist()] == texts and len(cut) <= 1 + len(texts)
+
+
 def test_frequent_pieces_are_counted_in_all_texts(spark, monkeypatch):
     monkeypatch.setattr(bpe, "SAMPLE_TEXTS", 2)
     words = [a + b for a in "abcdefghij" for b in "vwxyz"]
