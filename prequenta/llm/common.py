@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -39,6 +40,12 @@ def drop_written(frame: DataFrame) -> None:
         drop_folder(frame.sparkSession, path)
 
 
+def drop_when_released(frame: DataFrame) -> None:
+    """Remove what ``written`` wrote as soon as nobody holds this frame any more."""
+    spark, paths = frame.sparkSession, {file.rsplit("/", 1)[0] for file in frame.inputFiles()}
+    weakref.finalize(frame, lambda: [drop_folder(spark, path) for path in paths]).atexit = False
+
+
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a NULL id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

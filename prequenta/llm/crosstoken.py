@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prequenta.llm.common import drop_written, table, written
+from prequenta.llm.common import drop_when_released, drop_written, table, written
 
 BLOCK_BYTES = 2_000_000
 LIBRARY_CHARS = 100_000  # texts from which on A's library encodes, whose time grows least with the length of a word
@@ -233,8 +233,9 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_column: str = "doc_id",
     )
     measured = blocks.select("block", "texts", "at", "upto").join(resolved, "block").mapInArrow(_measured, MEASURED)
     measured = written(measured, "aligned-texts")
-    for used in (counted, blocks):
-        drop_written(used)
+    drop_written(counted)
+    drop_when_released(blocks)
+    del blocks
     return _to_documents(source.select("id", digest.alias("digest")), measured).withColumnRenamed("id", id_column)
 
 
